@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontam", "windows", "langid", "simhash", "topk", "mixing", "fuzzylines", "secretscan", "tokenbin", "bytesdedup")
+MODULES = ("tokenbin",)
 
 
 def _all():
