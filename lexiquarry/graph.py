@@ -18,6 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     e = materialise(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if not e.limit(1).count():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
