@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenbin",)
+MODULES = ("decontam", "windows", "langid", "simhash", "topk", "mixing", "secretscan", "tokenbin", "bytesdedup")
 
 
 def _all():
