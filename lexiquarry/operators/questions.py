@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def occurrences(docs: DataFrame, needles: DataFrame, id_col: str = "document_num
         some = [r.f for r in distinct.where(F.pmod(F.xxhash64("f"), F.lit(n)) == block).select("f").distinct().collect()]
         shared = docs.sparkSession.sparkContext.broadcast(some)
 
-        def find(source: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def find(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
             known, always = ahocorasick.Automaton(), []
@@ -86,16 +87,15 @@ def occurrences(docs: DataFrame, needles: DataFrame, id_col: str = "document_num
                     always.append(f)
             if len(known):
                 known.make_automaton()
-            for pdf in source:
-                ids, found = [], []
-                for d, t in zip(pdf.doc_id, pdf.t):
+            for batch in source:
+                at, found = [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
                     got = {f for _, f in known.iter(t)} if len(known) else set()
-                    for f in [*sorted(got), *always]:
-                        ids.append(d)
-                        found.append(f)
-                yield pd.DataFrame({"f": found, "doc_id": pd.Series(ids, dtype=pdf.doc_id.dtype)})
+                    found += [*sorted(got), *always]
+                    at += [i] * (len(got) + len(always))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], ["f", "doc_id"])
 
-        part = texts.mapInPandas(find, f"f string, doc_id {kind}")
+        part = texts.mapInArrow(find, f"f string, doc_id {kind}")
         out = part if out is None else out.unionByName(part)
     return out.join(small(distinct), "f").select("needle", "doc_id")
 

@@ -63,7 +63,7 @@ def test_refusals(spark):
 
 def test_ablation(spark):
     df = spark.createDataFrame([("What is the fee for Olcott, NY for?", ["olcott"]), ("Is it certain?", [])], "q string, t array<string>")
-    assert [r.y for r in df.select(T.ablate("q", "t").alias("y")).collect()] == ["What is the fee for, NY ?".replace(" ?", "?"), "Is it certa?"]
+    assert [r.y for r in df.select(T.ablate("q", "t").alias("y")).collect()] == ["What is the fee for, NY ?", "Is it certa?"]
     assert df.select(T.ablate("q", "t", strict=True).alias("y")).collect()[1].y == "Is it certain?"
 
 
