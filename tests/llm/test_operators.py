@@ -1,0 +1,391 @@
+"""Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiquarry.llm import anchors, bytesdedup, decontam, fuzzylines, langid, mixing, repeats, secretscan, simhash, tokenbin, topk, windows
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed=1, n=40):
+    rng = random.Random(seed)
+    vocab = ["lake", "pier", "öl", "the", "of", "zone", "a", "river", "ñandú", "x9"]
+    passage = " ".join(rng.choice(vocab) for _ in range(60))
+    rows = []
+    for i in range(n):
+        words = [rng.choice(vocab) + rng.choice(["", "", ".", str(rng.randrange(50))]) for _ in range(rng.randrange(0, 120))]
+        text = " ".join(words)
+        if i % 4 == 0:
+            text += "\n" + passage + "  \t" + text[:30]
+        rows.append((i, text, rng.choice(["en", "de"]), rng.choice(["s0", "s0", "s1", None]), len(text)))
+    rows += [(n, rows[0][1], "en", "s0", 0), (n + 1, None, None, None, None), (n + 2, "", "en", "s1", 0), (n + 3, "long " * 30_000, "en", "s0", 1), (n + 4, rows[4][1], "de", "s0", 0), (n + 4, rows[4][1], "de", "s0", 0), (None, passage, "en", "s1", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), ROWS).withColumns({"key": F.lit(1), "t": F.lit("t"), "doc": F.lit(9), "s": F.lit("s"), "i": F.lit(3)})
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], ROWS)
+
+
+def texts():
+    return [(i, (t or "").encode()) for i, t, *_ in corpus()]
+
+
+@pytest.mark.parametrize("shard", [repeats.SHARD, 1])
+def test_word_windows(docs, nothing, shard, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in windows.dedup(docs).collect())
+    count = collections.Counter(tuple(w[p : p + 35]) for _, t in texts() for w in [t.split()] for p in range(len(w) - 34))
+    want = collections.Counter()
+    for i, t in texts():
+        w = t.split()
+        out = set()
+        for p in range(len(w) - 34):
+            if count[tuple(w[p : p + 35])] > 1:
+                out |= set(range(p, p + 35))
+        want[i, len(w), len(out), b" ".join(x for k, x in enumerate(w) if k not in out)] += 1
+    assert got == want
+    assert windows.dedup(nothing).count() == 0
+
+
+@pytest.mark.parametrize("shard", [repeats.SHARD, 1])
+def test_byte_strings(docs, nothing, shard, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in bytesdedup.dedup(docs).collect())
+    first = {}
+    for i, t in texts():
+        for p in range(len(t) - 49):
+            if i is not None:
+                first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    want = collections.Counter()
+    for i, t in texts():
+        cut = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if i is not None and first[t[p : p + 50]] < i:
+                cut[p : p + 50] = b"\1" * 50
+        spans = sum(c and (not k or not cut[k - 1]) for k, c in enumerate(cut))
+        want[i, len(t), sum(cut), spans, bytes(x for x, c in zip(t, cut) if not c)] += 1
+    assert got == want
+    assert bytesdedup.dedup(nothing).count() == 0
+
+
+def test_suffix_order():
+    rng = random.Random(1)
+    for _ in range(50):
+        ts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 4))]
+        want = sorted(((k, o) for k, t in enumerate(ts) for o in range(len(t) + 1)), key=lambda x: ([y + len(ts) for y in ts[x[0]][x[1] :]] + [x[0]]))
+        assert bytesdedup.suffix_order(ts, 2, 3) == want
+
+
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    data = [bytes(random.Random(2).choice(b"abcd") for _ in range(5000))]
+    whole = anchors.runs(*anchors.byte_units(data), 50, 20)
+    monkeypatch.setattr(anchors, "PIECE", 700)
+    monkeypatch.setattr(anchors, "pieces", lambda lens, window, most=700: _pieces(lens, window, most))
+    cut = anchors.runs(*anchors.byte_units(data), 50, 20)
+    at = lambda r: {(int(s) + i, int(k)) for s, c, k in zip(r.start, r.count, r.key) for i in range(c)}
+    assert at(whole) == at(cut)
+
+
+def _pieces(lens, window, most):
+    for doc in np.flatnonzero(lens >= window):
+        for at in range(0, int(lens[doc]) - window + 1, most - window + 1):
+            yield int(doc), at, min(most, int(lens[doc]) - at)
+
+
+def test_simhash(docs, nothing, monkeypatch):
+    from xxhash import xxh64_intdigest as h
+
+    monkeypatch.setattr(simhash, "HOT", 3)  # also the second cut
+    got = sorted((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    prints = []
+    for i, t in texts():
+        w = re.findall(rb"[^\x20\x09-\x0d]+", t.translate(simhash._LOWER))
+        each = [h(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        prints.append((i, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each))))
+    label = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 4:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    low = {}
+    for (i, _), g in zip(prints, label):
+        if i is not None:
+            low[g] = min(i, low.get(g, i))
+    want = sorted((i is None, i, f"{p:016x}", low.get(g)) for (i, p), g in zip(prints, label))
+    assert got == want
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_trees_lose_no_link():
+    rng = np.random.default_rng(3)
+    v = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 900)] ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)))
+    groups = simhash.Groups(len(v))
+    simhash.Tree(v).link(np.arange(len(v)), 4, groups)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
+    label = np.arange(len(v))
+    while True:
+        new = np.where(near, label[None, :], len(v)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert (label == groups.label).all()
+
+
+def test_token_file(docs, nothing, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenbin.vocabulary())
+    got = sorted(tokenbin.token_binary(docs).collect(), key=lambda r: r.start)
+    at = 0
+    order = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for r, (i, t, *_) in zip(got, order):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(got) == len(order) and tokenbin.token_binary(nothing).count() == 0
+
+
+def test_pieces_are_encoded_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok, enc, rng = Tokenizer.from_file(tokenbin.vocabulary()), tokenbin.Encoder(tokenbin.vocabulary(), pieces=40), random.Random(5)
+    parts = ["abc", " ", "  ", "\n", " \n", "\n ", "a.", "é", "ß.", "I'm", "12", "\t", "　", "<|endoftext|>", "日本", "!!", "\xa0", "", "\x85", "\x1c", "😀"]
+    for _ in range(300):
+        some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3)]
+        assert [g.tolist() for g in enc(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_coder_round_trip_and_checkpoints():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 700, 200_000):
+        ids = rng.zipf(1.3, n).clip(1, 3000).astype(np.uint32)
+        coder = tokenbin.Coder(tokenbin.frequencies(np.bincount(ids, minlength=3001)))
+        lanes = 512 if n > 1000 else 4
+        packed = coder.encode(ids, lanes)
+        assert (coder.decode(n, lanes, *packed) == ids).all()
+        if n > 100_000:
+            step = tokenbin.STRIDE * lanes
+            assert (coder.decode(n, lanes, *packed, first=1, last=2) == ids[step : 2 * step]).all() and (coder.decode(n, lanes, *packed, first=2) == ids[2 * step :]).all()
+
+
+def test_damage_is_found(docs, spark, tmp_path):
+    path = f"file://{tmp_path}/f"
+    tokenbin.write(docs.limit(5), path, tokenbin.vocabulary())
+    bad = spark.read.parquet(f"{path}/blocks").withColumn("payload", F.concat(F.lit(b"\0\0\0\0"), F.expr("substring(payload, 5)")))
+    bad.write.parquet(f"{path}2/blocks")
+    spark.read.parquet(f"{path}/table").write.parquet(f"{path}2/table")
+    with pytest.raises(Exception, match="damaged"):
+        tokenbin.read(spark, f"{path}2").collect()
+
+
+def test_language_id(spark, nothing):
+    rng = random.Random(2)
+    vocab = {"en": ["the", "thing", "with", "house", "water"], "de": ["der", "und", "nicht", "wasser", "schön"], "fr": ["le", "eau", "maison", "être", "où"]}
+    rows = [(i, " ".join(rng.choice(vocab[y]) for _ in range(30)), y, "s", 1) for i in range(240) for y in [rng.choice(list(vocab))]]
+    rows += [(900, None, "en", "s", 1), (901, "123 !!", "en", "s", 1), (902, "wasser und", None, "s", 1), (None, "the house", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, ROWS).withColumns({"i": F.lit(0), "t": F.lit("z")})
+    model = langid.fit(docs)
+    got = langid.classify(docs, model).collect()
+    lang = {i: y for i, _, y, *_ in rows}
+    held = [(r, lang[r.doc_id]) for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and r.doc_id < 900]
+    assert len(held) > 40 and sum(r.lang_pred == y for r, y in held) / len(held) > 0.97
+    by = {r.doc_id: r for r in got}
+    assert by[900].lang_pred == by[901].lang_pred == "und" and by[900].score == 0 and by[902].lang_pred == "de" and len(got) == len(rows)
+    assert all(0 <= r.score <= 1 for r in got)
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and {900, 901} & {r.doc_id for r in kept.collect()} == set()
+    assert sum(r.rejected for r in got if r.doc_id is not None and r.doc_id < 900) <= 2
+    empty = langid.fit(nothing)
+    assert langid.classify(docs.limit(1), empty).first().lang_pred == "und" and langid.classify(nothing, model).count() == 0
+
+
+def brute_topk(rows, k=5):
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for i, v in ok:
+        if i % 50 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i))[:k]
+            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    return out
+
+
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MEMBERS", 60)
+    monkeypatch.setattr(topk, "QUERIES_EACH", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
+    rows[3] = (3, rows[2][1])
+    rows += [(300, None), (301, [float("nan")] * 8), (302, [None] * 8), (303, [0.1]), (350, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit(2), "x": F.lit(0), "q": F.lit(1)})
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute_topk(rows)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_mixing(spark, nothing):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), "en", rng.choice(["big"] * 8 + ["mid", None]), 1) for i in range(400)] + [(500, None, "en", "big", 1), (501, "", "en", "empty", 1), (None, "w w", "en", "big", 1)]
+    docs = spark.createDataFrame(rows, ROWS).withColumns({"s": F.lit("clash"), "epoch": F.lit(1), "n": F.lit(1), "block": F.lit(2)})
+    plan = {r.s: r for r in mixing.plan(docs, block_tokens=64).collect()}
+    assert abs(sum(r.weight for r in plan.values()) - 1) < 1e-9
+    got = mixing.mix(docs, block_tokens=64).collect()
+    tokens = collections.Counter()
+    reads = collections.defaultdict(collections.Counter)
+    for r in got:
+        tokens[r.source or ""] += len((r.text or "").split())
+        reads[r.source or ""][r.doc_id] += 1
+    longest = 60
+    for s, p in plan.items():
+        assert p.quota - longest <= tokens[s] <= p.quota
+        assert not reads[s] or max(reads[s].values()) - min(reads[s].values()) <= 1 or p.epoch == 0
+        assert p.quota <= mixing.REPEATS * max(1, p.tokens) + 1
+    assert plan["big"].weight < plan["big"].tokens / sum(p.tokens for p in plan.values())
+    assert mixing.mix(docs, block_tokens=64).columns[: len(docs.columns)] == docs.columns
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_secrets(spark, nothing):
+    rng = random.Random(4)
+    secret = "".join(rng.choice(secretscan.ALNUM) for _ in range(48))
+    rows = [
+        (1, 'x password = "hunter2x" Token:abc API-KEY=nothere api_key=\'abcdef\' é' + "AKIA" + "A1" * 9 + " " + "ab12" * 7, None, None, 1),
+        (2, None, None, None, 1), (3, "", None, None, 1), (4, f"blob {secret} and {chr(122) * 62}1111111111", None, None, 1), (5, "secret=token: abcdefgh", None, None, 1), (5, "AKIA123", None, None, 1), (None, "secret:abcdefg", None, None, 1), (6, "deadbeef" * 4000, None, None, 1),
+    ]
+    docs = spark.createDataFrame(rows, ROWS).withColumns({"x": F.lit(1), "base": F.lit(2)})
+    got = secretscan.scan(docs).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "") if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        want[i, tuple(sorted(spans))] += 1
+    assert collections.Counter((r.doc_id, tuple((s.start, s.kind, s.end) for s in r.base)) for r in got) == want
+    assert [s.hit for r in got if r.doc_id == 4 for s in r.found] == [secret]
+    assert secretscan.scan(nothing).count() == 0
+
+
+def test_randomness_tells_text_from_noise(spark):
+    rng = random.Random(6)
+    noise = ["".join(rng.choice(secretscan.ALNUM) for _ in range(40)) for _ in range(50)]
+    text = ["thelongwordofsomekind" * 2 + "2" for _ in range(5)] + ["a1" * 20]
+    p = [r.p for r in spark.createDataFrame([(x,) for x in noise + text], "s string").select(secretscan.randomness(F.col("s")).alias("p")).collect()]
+    assert sum(x > 0.05 for x in p[:50]) >= 40 and max(p[50:]) < 0.01
+
+
+def edited(rng, text, share):
+    out = list(text)
+    for _ in range(int(share * len(text))):
+        k = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[k] = rng.choice("abcdefgh")
+        elif kind == 1:
+            del out[k]
+        else:
+            out.insert(k, rng.choice("abcdefgh"))
+    return "".join(out)
+
+
+def test_decontamination(spark, nothing):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([5, 12, 15, 18, 25, 40, 60, 80] * 3)] + [(90, None), (91, "tiny")]
+    rows, want = [], set()
+    for i in range(200):
+        text = " ".join(word() for _ in range(80))
+        if i % 2:
+            k, item = items[rng.randrange(24)]
+            text += " " + edited(rng, item, rng.choice([0, 0, 0.03, 0.06])).upper() + " " + word()
+        rows.append((i, text, "en", "s", 1))
+    rows += [(500, None, "en", "s", 1), (501, "", "en", "s", 1), (None, items[7][1], "en", "s", 1)]
+    for i, t, *_ in rows:
+        for k, item in items:
+            n = decontam.normalise(item)
+            if len(n) >= decontam.SHORTEST and decontam.fuzzy_find(n, decontam.normalise(t))[0] <= int(decontam.RATE * len(n)):
+                want.add((i, k))
+    docs, bench = spark.createDataFrame(rows, ROWS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 90
+    kept = decontam.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - len({i for i, _ in got})
+    assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_fuzzy_find_is_exact():
+    rng = random.Random(9)
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(200):
+        a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randint(lo, 30))) for lo in (1, 0))
+        assert decontam.fuzzy_find(a, b)[0] == slow(a, b) and fuzzylines.distance(a, b) == whole(a, b)
+
+
+def test_fuzzy_lines(spark, nothing):
+    rng = random.Random(11)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12)) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        lines = [edited(rng, rng.choice(base), rng.choice([0, 0.01, 0.02])) if rng.random() < 0.6 else " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(9)) for _ in range(5)]
+        rows.append((i, "\n".join([*lines, "short", ""]), "en", "s", 1))
+    rows += [(100, None, "en", "s", 1), (101, "", "en", "s", 1), (None, base[0].upper(), "en", "s", 1), (102, rows[0][1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, ROWS).withColumns({"h": F.lit(1), "no": F.lit(2), "first": F.lit(0)})
+    got = {r.doc_id: r for r in fuzzylines.dedup(docs).collect()}
+    places = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        for k, line in enumerate(fuzzylines.normalised(t)):
+            if len(line) >= fuzzylines.SHORTEST:
+                places[line].append((i is not None, i or 0, k))
+    lines = list(places)
+    sims = fuzzylines.simhashes(lines)
+    label = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if int(sims[a] ^ sims[b]).bit_count() <= 3 and fuzzylines.alike(lines[a], lines[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    best = {}
+    for g, line in zip(label, lines):
+        best[g] = min([best[g]] * (g in best) + places[line])
+    gone = collections.Counter(p[1] if p[0] else None for g, line in zip(label, lines) for p in places[line] if p != best[g])
+    assert {i: r.n_removed for i, r in got.items()} == {i: gone[i] for i, *_ in rows} and sum(gone.values()) > 50
+    assert got[100].kept is None and got[101].kept == b"" and got[100].n_lines == 0
+    assert fuzzylines.dedup(nothing).count() == 0
+
+
+def test_queries_are_registered():
+    from lexiquarry.llm import catalogue
+
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalogue.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
