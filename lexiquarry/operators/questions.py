@@ -142,7 +142,7 @@ def fact_questions(checked: DataFrame, limit: int, used: dict[str, int] | None =
                 rows.append((r.question, r.answer, r.field, str(r.doc_id), r.corpus_occurrences, len(rows)))
         return pd.DataFrame(rows, columns=["question", "answer", "answer_field", "gold_doc", "corpus_occurrences", "_o"])
 
-    return _shape(few.groupBy(F.lit(0)).applyInPandas(choose, "question string, answer string, answer_field string, gold_doc string, corpus_occurrences long, _o long"), "fact")
+    return _shape(few.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(choose, "question string, answer string, answer_field string, gold_doc string, corpus_occurrences long, _o long"), "fact")
 
 
 def discriminator_questions(checked: DataFrame, clustered: DataFrame, limit: int, seed: int = 0) -> DataFrame:
