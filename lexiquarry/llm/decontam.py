@@ -3,7 +3,8 @@
 Texts are lower-cased, runs of white space become one space, and both sides are compared as UTF-8 bytes. A document holds an item if some
 part of it is within ``RATE`` edits for each of the item's bytes.
 
-Items are put into classes of similar length. A window is the stretch of a class's length at some place of a document. Windows that share
+Items are put into classes of similar length. A window is the stretch of a class's length from the start of a word, or from where grams shared with
+the class set in (an item may be glued to what stands before). Windows that share
 too few grams with a class to be within the edits (the q-gram lemma: each edit destroys at most q of them) are passed over,
 which loses nothing. The others are embedded by CGK random walks, under which edit distance becomes Hamming distance, next to the items of their
 class; a few sampled positions of an embedding are a key, and equal keys make a candidate. Walks and samples are repeated until
@@ -82,8 +83,12 @@ class _Class:
         # windows must be able to hold the longest member; grams that must survive in the weakest one, occurrences counted
         self.reach = max(n + k for n, k in zip(lens, edits))
         self.least = max(1, min(n - self.q + 1 - self.q * k for n, k in zip(lens, edits)))
-        self.needs = [max(1, n - self.q + 1 - self.q * k) for n, k in zip(lens, edits)]
+        self.needs = [max(1, len(s) - self.q * k) for s, k in zip(self.sets, edits)]  # distinct grams that are left
         self.size = min(lens)
+        self.vocabulary = np.unique(np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in self.sets]))
+        self.has = np.zeros((len(self.vocabulary), len(members)), bool)
+        for m, s in enumerate(self.sets):
+            self.has[np.searchsorted(self.vocabulary, np.fromiter(s, np.uint64, len(s))), m] = True
         rng = np.random.default_rng(seed + self.size)
         self.steps = 2 * self.size
         self.moves = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int8)
@@ -96,6 +101,11 @@ class _Class:
                 order = np.argsort(keys, kind="stable")
                 self.tables.append((keys[order], order))
 
+    def possible(self, grams: np.ndarray) -> np.ndarray:
+        """Which members have enough distinct grams among ``grams`` to be within their edits."""
+        at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
+        return self.has[np.unique(at[self.vocabulary[at] == grams])].sum(0) >= self.needs
+
     def keys(self, data: np.ndarray, starts: np.ndarray, walk: int) -> list[np.ndarray]:
         """The keys of the windows at ``starts``, one array for each table."""
         wanted = {int(p) for p in self.places[walk].ravel()}
@@ -160,12 +170,14 @@ class Index:
             return []
         ends = np.cumsum([len(p) + 1 for p in parts])
         data = np.frombuffer(blob, np.uint8)
-        hits = {}
+        hits, grams = {}, {}
         for q, (mark, bits) in self.marks.items():
-            got = mark[self._slot(_grams(blob, q), bits)]
+            grams[q] = _grams(blob, q)
+            got = mark[self._slot(grams[q], bits)]
             at = np.flatnonzero(got)
             hits[q] = (at, got[at])
         best: dict[tuple[int, int], int] = {}
+        words, opens = np.append(True, (data[:-1] == 32) | (data[:-1] == 10)), np.zeros(len(data), bool)
         for b, c in enumerate(self.classes):
             at, got = hits[c.q]
             at = at[(got >> b) & 1 == 1]
@@ -179,35 +191,35 @@ class Index:
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, np.maximum(low[ok], 0), 1)
             np.add.at(change, high[ok] + 1, -1)
-            starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            inside = np.cumsum(change[:-1]) > 0
+            edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
+            for first, last in edges.tolist():  # stretches of windows; those that no member can be in are passed over
+                if not c.possible(grams[c.q][first : last + c.reach]).any():
+                    inside[first:last] = False
+            opens[at] = True
+            opens[at[np.flatnonzero(np.diff(at, prepend=-2) == 1)]] = False  # of places in a row that share grams, the first
+            starts = np.flatnonzero(inside & (opens | words))
+            opens[at] = False
+            if not len(starts):
+                continue
             pairs = c.candidates(data, starts)
-            doc = np.searchsorted(ends, starts[pairs[:, 0]], "right")
-            order = np.lexsort((starts[pairs[:, 0]], pairs[:, 1], doc))
-            last = None
-            for d, m, s in zip(doc[order].tolist(), pairs[order, 1].tolist(), starts[pairs[order, 0]].tolist()):
-                if last and last[:2] == (d, m) and s <= last[3] + c.reach:
-                    last[3] = s
-                    continue
-                self._verify(c, last, blob, ends, best)
-                last = [d, m, s, s]
-            self._verify(c, last, blob, ends, best)
+            where = starts[pairs[:, 0]]
+            doc = np.searchsorted(ends, where, "right")
+            new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(where, prepend=-1) > c.reach))
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(where)]):
+                d = int(doc[s])
+                begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
+                # a window may have matched a little off the true place: a reach to either side covers what it stands for
+                begin, end = max(begin, int(where[s]) - c.reach), min(end, int(where[e - 1]) + 2 * c.reach)
+                enough = c.possible(grams[c.q][begin : max(begin, end - c.q + 1)])
+                for m in np.unique(pairs[s:e, 1]).tolist():
+                    if enough[m]:
+                        item, wanted = c.members[m]
+                        edits, _ = fuzzy_find(wanted, blob[begin:end])
+                        if edits <= c.edits[m]:
+                            best[d, item] = min(edits, best.get((d, item), edits))
         return [(d, i, k) for (d, i), k in sorted(best.items())]
 
-    @staticmethod
-    def _verify(c: _Class, what: list | None, blob: bytes, ends: np.ndarray, best: dict) -> None:
-        if what is None:
-            return
-        d, m, first, last = what
-        begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
-        # a window may have matched a little off the true place: one reach to either side covers every part that it stands for
-        text = blob[max(begin, first - c.reach) : min(end, last + 2 * c.reach)]
-        if len(c.sets[m].intersection(_grams(text, c.q).tolist())) < min(c.needs[m], 1 + c.needs[m] // 4, len(c.sets[m])):
-            return
-        item, bytes_ = c.members[m]
-        edits, _ = fuzzy_find(bytes_, text)
-        if edits <= c.edits[m]:
-            best[d, item] = min(edits, best.get((d, item), edits))
-
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``(doc_id, item_id, edits)``: every item that a document's text holds, with the least edits.
