@@ -386,9 +386,9 @@ def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _VERDICTS = "v AS (SELECT doc_id, quality = 1 AS auto, CASE WHEN toxic = 1 THEN 'bad-question' WHEN doc_id % 3 <> 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'correct' ELSE 'refusal' END AS verdict FROM labels), e AS (SELECT *, CASE verdict WHEN 'correct' THEN true WHEN 'refusal' THEN false WHEN 'bad-question' THEN NULL ELSE auto END AS eff FROM v)"
 
 
-@query(f"WITH {_VERDICTS} SELECT doc_id::VARCHAR AS id, verdict, eff AS effective_correct FROM e")
+@query(f"WITH {_VERDICTS} SELECT doc_id::VARCHAR AS id, verdict, coalesce(eff::VARCHAR, 'none') AS effective_correct FROM e")
 def verdict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.overlaid(*_labelled(spark, sf_dir)).select("id", "verdict", "effective_correct")
+    return evaluation.overlaid(*_labelled(spark, sf_dir)).select("id", "verdict", F.coalesce(F.col("effective_correct").cast("string"), F.lit("none")).alias("effective_correct"))
 
 
 @query(f"WITH {_VERDICTS} SELECT count(*) AS answers, count_if(auto)::BIGINT AS automated, count_if(coalesce(eff, false))::BIGINT AS reviewed, count_if(verdict = 'bad-question')::BIGINT AS bad_questions, count_if(verdict = 'refusal')::BIGINT AS refusals, count_if(NOT auto AND verdict IS NULL)::BIGINT AS unjudged FROM e")
