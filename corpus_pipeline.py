@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import decontam, langid, mixing, simhash, tokenbin
-from lexiquarry.session import free_shuffles, materialise
+from lexiquarry.session import free_shuffles, materialise, small
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id."""
+    """Keep one document of each group: the one with the smallest id. Rows without an id stay if their group has no named one."""
     found = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    docs = docs.join(materialise(found, "kept"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    kept = materialise(found, "kept")
+    # one shuffle by id serves the choice among rows that share an id and the join
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+    named = docs.where("doc_id is not null").withColumn("_first", first).where("_first = 1").drop("_first")
+    named = named.join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
+    nameless = docs.where("doc_id is null").join(small(kept.where("kept is null").limit(1)), how="left_semi")
+    return named.unionByName(nameless)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
