@@ -5,12 +5,13 @@
 3. Where different phrases share a trigger, one copy of each goes to a shard with the others, and their windows are compared.
 4. The verdicts go back to the phrases' places, and from there to the texts.
 
-All groupings combine before they are shuffled, all joins are equi-joins that adaptive execution can split, and triggers with very many
-different phrases are dealt over several shards by their windows' hashes. Nothing is collected.
+All groupings combine before they are shuffled, all joins are equi-joins that adaptive execution can split, and the windows of triggers with very many
+different phrases are compared as rows of their own, dealt out by the windows' hashes. Nothing is collected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors
 from lexiquarry.llm.common import batches, record
-from lexiquarry.session import discard, free_shuffles, materialise
+from lexiquarry.session import discard, free_shuffles, materialise, small
 
-SHARD = 5000  # different phrases of one trigger in a shard, about
+SHARD = 200  # different phrases of one trigger that are compared in one shard; with more, windows are dealt out one by one
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,14 @@ def _bytes(column) -> list[bytes]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, th, t)``: id, a hash that tells rows of one id apart, text. Rows alike in both get the same verdicts."""
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
+    """``(doc, th, t)``: id, a hash that tells rows of one id apart (0 where the id is unique), text. Rows alike in both get the same verdicts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc"))
+    shared = materialise(ids.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("d1"), F.lit(True).alias("shared")), "sharedids")
+    if not shared.limit(1).count():
+        return rows.select("doc", F.lit(0).alias("th"), "t")
+    marked = rows.join(small(shared), F.col("doc").eqNullSafe(F.col("d1")), "left")
+    return marked.select("doc", F.when(F.col("shared"), F.hash("t")).otherwise(0).alias("th"), "t")
 
 
 def triggers(rows: DataFrame, kind: Kind) -> DataFrame:
@@ -83,7 +90,7 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> D
     wanted = contested.groupBy("at.doc", "at.th").agg(F.collect_list(F.struct("key", "digest", "lo", "n", "at.start", "at.count", "shards")).alias("p"))
     wanted = wanted.withColumnsRenamed({"doc": "d2", "th": "th2"})
     texts = wanted.join(rows, F.col("doc").eqNullSafe(F.col("d2")) & F.col("th").eqNullSafe(F.col("th2"))).select("t", "p")
-    out = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("digest", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("count", pa.int32()), ("content", pa.binary())])
+    out = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("place", pa.int32()), ("digest", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("count", pa.int32()), ("content", pa.binary())])
 
     def fetch(source):
         for batch in batches(source, rows=64):
@@ -91,31 +98,31 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> D
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             p = lists.flatten()
             get = {f.name: p.field(i) for i, f in enumerate(p.type)}
-            start, count, shards = (get[c].to_numpy() for c in ("start", "count", "shards"))
-            content = kind.content(texts, owner, start.astype(np.int64), count.astype(np.int64), kind.window)
-            at = np.repeat(np.arange(len(shards)), shards)
-            shard = np.arange(len(at)) - np.repeat(np.cumsum(shards) - shards, shards)
+            start, count, shards = (get[c].to_numpy().astype(np.int64) for c in ("start", "count", "shards"))
+            # each phrase is a row; those of hot triggers are a row for each window
+            parts = np.where(shards > 1, count, 1)
+            at = np.repeat(np.arange(len(parts)), parts)
+            place = anchors.spread(np.zeros(len(parts), np.int64), parts)
+            size = np.where(shards > 1, 1, count)[at]
+            content = kind.content(texts, owner[at], start[at] + place, size, kind.window)
+            shard = [zlib.crc32(c) % n if n > 1 else 0 for c, n in zip(content, shards[at].tolist())]
             pick = lambda c: get[c].take(pa.array(at))
-            yield record(out, pick("key"), shard.astype(np.int32), pick("shards"), pick("digest"), pick("lo"), pick("n"), pick("count"), pa.array(content, pa.binary()).take(pa.array(at)))
+            yield record(out, pick("key"), np.array(shard, np.int32), place.astype(np.int32), pick("digest"), pick("lo"), pick("n"), size.astype(np.int32), pa.array(content, pa.binary()))
 
     result = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("mask", pa.int64())])
 
     def compare(source):
-        # a partition's shards are sorted together: its size is bounded by the shuffle's, and hot triggers are dealt over shards
+        # a partition's shards are sorted together: its size is bounded by the shuffle's
         held = pa.Table.from_batches(list(source), schema=out) if source else None
         if held is None or not held.num_rows:
             return
         held = held.combine_chunks()
-        key, shard, shards, digest, n, count = (held.column(c).to_numpy() for c in ("key", "shard", "shards", "digest", "n", "count"))
+        key, first, digest, n, count = (held.column(c).to_numpy() for c in ("key", "place", "digest", "n", "count"))
         lo = held.column("lo").fill_null(np.iinfo(np.int64).max).to_numpy()
         content = held.column("content").chunk(0)
         owner = np.repeat(np.arange(len(key)), count)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        group, hashes = kind.compare(content, key, count.astype(np.int64), kind.window)
-        mine = hashes % shards[owner].astype(np.uint64) == shard[owner].astype(np.uint64)
-        owner, place, group = owner[mine], place[mine], group[mine]
-        if not len(group):
-            return
+        place = anchors.spread(first.astype(np.int64), count.astype(np.int64))
+        group = kind.compare(content, key, count.astype(np.int64), kind.window)
         size = int(group.max()) + 1
         # one phrase may hold a window twice: the phrase's count stands for each
         if by_count:
@@ -131,7 +138,7 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> D
         keep = np.flatnonzero(mask)
         yield record(result, key[keep], digest[keep], mask[keep].view(np.int64))
 
-    fetched = texts.mapInArrow(fetch, "key long, shard int, shards int, digest long, lo long, n long, count int, content binary")
+    fetched = texts.mapInArrow(fetch, "key long, shard int, place int, digest long, lo long, n long, count int, content binary")
     flagged = fetched.repartition("key", "shard").mapInArrow(compare, "key long, digest long, mask long").groupBy("key", "digest").agg(F.bit_or("mask").alias("mask")).toDF("k", "g", "mask")
     settled = entries.join(flagged, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("g")), "left").select("key", "digest", "lo", "n", F.coalesce("mask", F.lit(0)).alias("mask"), "hi")
     settled = materialise(settled.where(((F.col("n") > 1) if by_count else (F.col("hi") > F.col("lo"))) | (F.col("mask") != 0)).drop("hi"), "verdicts")

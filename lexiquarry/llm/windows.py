@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors, repeats
-from lexiquarry.llm.common import batches, mix64, record, table
+from lexiquarry.llm.common import batches, record, table
 from lexiquarry.session import materialise
 
 WINDOW = 35
@@ -65,7 +65,7 @@ def _compare(content, key, count, window):
     new = (np.diff(pair[order], axis=0) != 0).any(1)
     group = np.empty(len(order), np.int64)
     group[order] = np.concatenate([[0], np.cumsum(new)])
-    return group, mix64(hashes, 3)
+    return group
 
 
 WORDS = repeats.Kind(WINDOW, GRAM, anchors.word_units, _content, _compare)
