@@ -14,9 +14,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 LANES = 512
 STRIDE = 128  # steps between checkpoints
 BLOCK = 1 << 17  # ids after which a block ends at the next document
-PIECES = 300_000  # distinct pieces whose ids a worker remembers; more are encoded again, with the same ids
+PIECES = 400_000  # distinct pieces whose ids a worker remembers; more are encoded again, with the same ids
 
 
 # ---------------------------------------------------------------- text to ids
@@ -56,6 +58,8 @@ class Encoder:
     """
 
     _unsafe = re.compile(r"\s \s|^ \s|\s $|^ $")
+    #: white space besides the space and the line feed; texts without any of it need only cheap tests
+    _rare = [chr(x) for x in range(0x3001) if chr(x).isspace() and chr(x) not in " \n"]
 
     def __init__(self, path: str, pieces: int = PIECES):
         from tokenizers import Tokenizer
@@ -68,71 +72,100 @@ class Encoder:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in set(kept)]
         self.letters = {x: x for x in kept} | {x: 256 + i for i, x in enumerate(rest)}  # the byte alphabet of byte-level vocabularies
+        self.lead = ["", chr(self.letters[32])]
         self.index = [_Index(), _Index()]  # pieces without and with a leading space
-        self.ids = [[np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.lens = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-    def _word(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _word(self, side: int, word: str) -> list[int]:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(self.lead[side] + mapped)]
 
     @staticmethod
     def _plain(word: str) -> bool:
         return word.isalpha() and (word.isascii() or max(word) < "ɐ")
 
     def _learn(self, side: int) -> None:
-        new, flat = self.index[side].new, self.ids[side]
+        """Find the ids of the new pieces: letters alone go to the model, with a mark after them in two parts, others to the whole tokenizer."""
+        index, new = self.index[side], self.index[side].new
         if not new:
             return
-        lead = " " * side
+        known, plain, word = len(self.starts[side]), self._plain, self._word
+        marks = {m: word(0, m) for m in ".,;:!?"}
         out: list[list[int] | None] = [None] * len(new)
         rest = []
         for i, w in enumerate(new):
-            if w and self._plain(w):
-                out[i] = self._word(lead + w)
-            elif len(w) > 1 and w[-1] in ".,;:!?" and self._plain(w[:-1]):
-                out[i] = self._word(lead + w[:-1]) + self._word(w[-1])
+            if plain(w):
+                out[i] = word(side, w)
+            elif w and w[-1] in marks and plain(w[:-1]):
+                at = index.get(w[:-1], -1)
+                if 0 <= at < known:
+                    start = self.starts[side][at]
+                    head = self.flat[start : start + self.lens[side][at]].tolist()
+                elif known <= at and (got := out[at - known]) is not None:
+                    head = got
+                else:
+                    head = word(side, w[:-1])
+                out[i] = head + marks[w[-1]]
             else:
                 rest.append(i)
-        for i, e in zip(rest, self.tok.encode_batch_fast([lead + new[i] for i in rest], add_special_tokens=False)):
+        for i, e in zip(rest, self.tok.encode_batch_fast([" " * side + new[i] for i in rest], add_special_tokens=False)):
             out[i] = e.ids
         lens = np.fromiter(map(len, out), np.int64, len(out))
-        starts = len(flat[0]) + np.cumsum(lens) - lens
-        flat[0] = np.concatenate([flat[0], np.fromiter((x for o in out for x in o), np.uint32, int(lens.sum()))])
-        flat[1], flat[2] = np.concatenate([flat[1], starts]), np.concatenate([flat[2], lens])
+        self.starts[side] = np.concatenate([self.starts[side], len(self.flat) + np.cumsum(lens) - lens])
+        self.lens[side] = np.concatenate([self.lens[side], lens])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum()))])
         new.clear()
 
-    def _forget(self) -> None:
-        for side in (0, 1):
-            index, flat = self.index[side], self.ids[side]
-            if len(index) > self.cap:
-                for k in list(index)[self.cap :]:
-                    del index[k]
-                end = int(flat[1][self.cap])
-                flat[:] = [flat[0][:end].copy(), flat[1][: self.cap].copy(), flat[2][: self.cap].copy()]
+    @staticmethod
+    def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(lens)
+        return flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _forget(self, side: int, known: int, end: int) -> None:
+        """Drop what the last texts added to a full index: the pieces after ``known``, whose ids follow ``end``."""
+        index = self.index[side]
+        for k in list(islice(reversed(index), len(index) - known)):
+            del index[k]
+        self.starts[side], self.lens[side], self.flat = self.starts[side][:known], self.lens[side][:known], self.flat[:end]
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text must go to the library in one part."""
+        odd = "  " in text or "\n \n" in text or text[0] == " " or text[-1] == " " or any(c in text for c in self._rare)
+        return bool(odd and self._unsafe.search(text)) or any(a in text for a in self.added)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end mark; a null text counts as empty."""
-        out: list = [None] * len(texts)
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
         todo = []
         for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, np.uint32)
-            elif self._unsafe.search(text) or any(a in text for a in self.added):
+            if text and self._whole(text):
                 out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                words = text.split(" ")
-                first = self.index[0][words[0]]
-                todo.append((i, first, np.fromiter(map(self.index[1].__getitem__, words[1:]), np.int64, len(words) - 1)))
-        self._learn(0)
-        self._learn(1)
-        for i, first, rest in todo:
-            flat, starts, lens = self.ids[0]
-            head = flat[starts[first] : starts[first] + lens[first]]
-            flat, starts, lens = self.ids[1]
-            n = lens[rest]
-            ends = np.cumsum(n)
-            tail = flat[np.repeat(starts[rest] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            out[i] = np.concatenate([head, tail])
-        self._forget()
+            elif text:
+                todo.append(i)
+        if not todo:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in todo], pa.large_string()), " ")
+        begin = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        mine = np.fromiter(map(self.index[1].__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+        first = np.fromiter(map(self.index[0].__getitem__, (texts[i].split(" ", 1)[0] for i in todo)), np.int64, len(todo))
+        known = [len(x) for x in self.starts]
+        ends_at = [len(self.flat)]
+        for side in (0, 1):
+            self._learn(side)
+            ends_at.append(len(self.flat))
+        starts, lens = self.starts[1][mine], self.lens[1][mine]
+        starts[begin[:-1]], lens[begin[:-1]] = self.starts[0][first], self.lens[0][first]
+        ids, ends = self._gather(self.flat, starts, lens)
+        for i, part in zip(todo, np.split(ids, ends[begin[1:-1] - 1])):
+            out[i] = part
+        full = [k >= self.cap for k in known]
+        if full[1]:
+            self._forget(1, known[1], ends_at[1])
+        if all(full):
+            self._forget(0, known[0], ends_at[0])
         return out
 
 
@@ -254,7 +287,7 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             keys = np.array([0 if i is None else i for i in ids], "<i8")
             return record(schema, [part], [number], [before], [keys.tobytes()], [null.tobytes()], [lens.tobytes()], [size], [np.concatenate(held).astype(width).tobytes()])
 
-        for batch in batches(source):
+        for batch in batches(source, rows=8192):
             texts = batch.column(1).to_pylist()
             for i, x in zip(batch.column(0).to_pylist(), enc(texts)):
                 held.append(np.append(x, np.uint32(end_id)))
