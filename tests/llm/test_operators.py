@@ -384,6 +384,23 @@ def test_fuzzy_lines(spark, nothing):
     assert fuzzylines.dedup(nothing).count() == 0
 
 
+def test_fuzzy_lines_against_edit_similarity(spark):
+    """Recall against every pair of an edit similarity of 0.8 and more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    rows, want = [], 0
+    for i in range(240):
+        line = " ".join(word() for _ in range(rng.choice([8, 12, 20, 40])))
+        other = edited(rng, line, rng.choice([0.01, 0.05, 0.1, 0.15, 0.18]))
+        want += fuzzylines.alike(line.encode(), " ".join(other.split()).encode())
+        rows.append((i, f"{line}\n{other}", "en", "s", 1))
+    lines = [x for _, t, *_ in rows for x in fuzzylines.normalised(t)]
+    apart = [(a, b) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if i // 2 != j // 2 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))]
+    assert not any(fuzzylines.alike(a, b) for a, b in apart)  # so what is removed is one line of each pair that is alike
+    got = sum(r.n_removed for r in fuzzylines.dedup(spark.createDataFrame(rows, ROWS)).collect())
+    assert want > 200 and 0.9 * want <= got <= want
+
+
 def test_queries_are_registered():
     from lexiquarry.llm import catalogue
 
