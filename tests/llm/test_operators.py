@@ -385,7 +385,7 @@ def test_fuzzy_lines(spark, nothing):
 
 
 def test_fuzzy_lines_against_edit_similarity(spark):
-    """Recall against every pair of an edit similarity of 0.8 and more."""
+    """Recall against every pair of an edit similarity of 0.8 and more; short lines fold if equal."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
     rows, want = [], 0
@@ -399,6 +399,8 @@ def test_fuzzy_lines_against_edit_similarity(spark):
     assert not any(fuzzylines.alike(a, b) for a, b in apart)  # so what is removed is one line of each pair that is alike
     got = sum(r.n_removed for r in fuzzylines.dedup(spark.createDataFrame(rows, ROWS)).collect())
     assert want > 200 and 0.9 * want <= got <= want
+    short = spark.createDataFrame([(1, "Yes\n\nno", "en", "s", 1), (2, "yes \n\nyet", "en", "s", 1)], ROWS)
+    assert {r.doc_id: r.kept for r in fuzzylines.dedup(short).collect()} == {1: b"Yes\n\nno", 2: b"\nyet"}
 
 
 def test_queries_are_registered():
