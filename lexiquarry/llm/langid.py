@@ -3,12 +3,14 @@
 Features are byte 2-, 3- and 4-grams of the lower-cased text, hashed into ``BUCKETS`` embeddings. A text's vector is the mean of its n-grams'
 embeddings; a linear layer and softmax give the languages. Training is plain stochastic gradient descent in numpy over a
 bounded sample of labelled rows. A held-back part of the sample fits a temperature, so that scores are probabilities, and the
-score under which a text is rejected: the one that loses at most ``LOSS`` of the held-back texts.
+evidence under which a text is rejected: the one that loses at most ``LOSS`` of the held-back texts. Evidence is how far a text's n-grams move the logits apart;
+a softmax hides that, as n-grams never trained on give small logits, but some language is always ahead.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +44,26 @@ class Model:
     table: np.ndarray  # logits of each bucket: embeddings times output weights
     bias: np.ndarray
     temperature: float
-    floor: float
+    floor: float  # least evidence of a text that is kept
 
-    def probabilities(self, text: str) -> np.ndarray:
+    def logits(self, text: str) -> np.ndarray:
         logits = np.zeros(len(self.labels))
         f = features(text)
         for at in range(0, len(f), 1 << 20):
             logits += self.table[f[at : at + (1 << 20)]].sum(0, dtype=np.float64)
-        return _softmax((logits / len(f) + self.bias) / self.temperature)
+        return logits / len(f)
+
+    def probabilities(self, text: str) -> np.ndarray:
+        return _softmax((self.logits(text) + self.bias) / self.temperature)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Label, calibrated score and whether the text is rejected. Null texts and texts without a letter are ``und``, score 0, rejected."""
         if not text or not any(map(str.isalpha, text)) or not self.labels:
             return UNKNOWN, 0.0, True
-        p = self.probabilities(text)
+        logits = self.logits(text)
+        p = _softmax((logits + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.labels[best], round(float(p[best]), 6), bool(p[best] < self.floor)
+        return self.labels[best], round(float(p[best]), 6), bool(_evidence(logits) < self.floor)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -65,6 +71,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _evidence(logits: np.ndarray) -> np.ndarray:
+    return np.sqrt(((logits - logits.mean(-1, keepdims=True)) ** 2).sum(-1))
+
+
+def _floor(evidence: np.ndarray) -> float:
+    """The evidence that at most ``LOSS`` of such texts fall short of: the lower of the sample's own quantile and that of a log-normal (a small sample has no such quantile)."""
+    logs = np.sort(np.log(np.maximum(evidence, 1e-12)))
+    return float(np.exp(min(logs[int(LOSS * len(logs))], logs.mean() + NormalDist().inv_cdf(LOSS) * logs.std())))
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0.5, seed: int = 7, buckets: int = BUCKETS, dim: int = DIM) -> Model:
     """Fit a model; equal inputs give equal models. No usable rows give a model that answers ``und``."""
     rows = [(t, y) for t, y in zip(texts, labels) if t and y is not None and any(map(str.isalpha, t))]
@@ -93,13 +109,14 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
             emb[b] -= step * 10 * share * back  # shares are small; the embeddings take a larger step
     weights = (emb @ out).astype(np.float32)
     test = np.flatnonzero(held) if held.any() else own
-    logits = np.array([(weights[bags[i][0]] * bags[i][1]).sum(0) + bias for i in test])
+    logits = np.array([(weights[bags[i][0]] * bags[i][1]).sum(0) for i in test])
+    # targets are a little short of certain, or texts that are all classified right would have the temperature fall without end
+    target = np.full((len(test), len(names)), 1 / (len(test) + 2) / max(1, len(names) - 1))
+    target[np.arange(len(test)), y[test]] = 1 - 1 / (len(test) + 2)
     grid = np.geomspace(0.05, 20, 60)
-    losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(test)), y[test]], 1e-12)).mean() for t in grid]
+    losses = [-(target * np.log(np.maximum(_softmax((logits + bias) / t), 1e-300))).sum(1).mean() for t in grid]
     heat = float(grid[int(np.argmin(losses))])
-    top = np.sort(_softmax(logits / heat).max(1))
-    floor = float(top[int(LOSS * len(top))]) * 0.5  # half the score of the weakest accepted text
-    return Model(names, weights, bias, heat, max(floor, 1 / len(names)) if len(names) > 1 else 0.0)
+    return Model(names, weights, bias, heat, _floor(_evidence(logits)) if len(names) > 1 else 0.0)
 
 
 def _held_out(id_col):

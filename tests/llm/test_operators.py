@@ -224,6 +224,17 @@ def brute_topk(rows, k=5):
     return out
 
 
+def test_language_id_rejects_what_it_never_learned():
+    rng = random.Random(4)
+    vocab = {"en": ["the", "thing", "with", "house", "water"], "de": ["der", "und", "nicht", "wasser", "schön"], "fr": ["le", "eau", "maison", "être", "où"]}
+    rows = [(" ".join(rng.choice(vocab[y]) for _ in range(30)), y) for y in rng.choices(list(vocab), k=400)]
+    model = langid.train(*zip(*rows[:300]))
+    assert 0.06 < model.temperature < 15
+    assert sum(model.predict(t)[2] for t, _ in rows[300:]) <= 1 and all(model.predict(t)[0] == y for t, y in rows[300:])
+    for text in ("我们今天去北京看朋友，天气很好", "Сегодня мы поехали в Москву, чтобы увидеть друзей", "ذهبنا اليوم إلى المدينة لرؤية الأصدقاء", "xkcd qwrt zpfg hjklm vbnq wrtp zxcvb", "4f3a9bc0de12ff7718a0c3d5e6b79f01"):
+        assert model.predict(text)[2], text
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "MEMBERS", 60)
     monkeypatch.setattr(topk, "QUERIES_EACH", 2)
