@@ -348,8 +348,17 @@ _REFUSES = f"(contains({PLAIN.format('generated')}, 'not found in the available
 @query(f"WITH {TURNS} SELECT id, {PLAIN.format(_want('question'))} <> '' AND contains({PLAIN.format('generated')}, {PLAIN.format(_want('question'))}) AS whole, {_REFUSES} AS refused FROM turns WHERE {_ASCII}")
 def answer_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an answer repeats its question's first three words, and whether it refuses."""
-    t = tables.turns(spark, sf_dir).where(F.concat("question", "generated").rlike(r"^[\x00-\x7F]*$"))
-    said, want = T.plain_scored("generated", True), T.plain_scored(F.array_join(F.slice(T.words("question"), 1, 3), " "), True)
+    return _matched(tables.turns(spark, sf_dir).where(F.concat("question", "generated").rlike(r"^[\x00-\x7F]*$")), True)
+
+
+@query()
+def answer_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every pair, decomposed as the reference does (SQL lacks NFKD, so ``answer_matching`` has the ASCII pairs only)."""
+    return _matched(tables.turns(spark, sf_dir), False)
+
+
+def _matched(t: DataFrame, ascii_only: bool) -> DataFrame:
+    said, want = T.plain_scored("generated", ascii_only), T.plain_scored(F.array_join(F.slice(T.words("question"), 1, 3), " "), ascii_only)
     return t.select("id", ((want != "") & F.contains(said, want)).alias("whole"), T.is_refusal(said).alias("refused"))
 
 
@@ -362,7 +371,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.chunks(spark, sf_dir)
     hits = search.bm25(search.index(c), tables.asked(spark, sf_dir)).withColumn("query_id", F.col("query_id").cast("string"))
     q = _gold(spark, sf_dir).withColumns({"answer": F.array_join(F.slice(F.split("question", " "), 1, 3), " "), "corpus_occurrences": F.lit(1).cast("long")})
-    return evaluation.scored(q, hits, c, ascii_only=True)
+    return evaluation.scored(q, hits, c)
 
 
 @query(_RESULTS + " SELECT count(*) AS questions, count(rank) AS hits, round(count(rank) / count(*)::DOUBLE, 6) AS hit_rate, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, count_if(rank = 1)::BIGINT AS first FROM results")
