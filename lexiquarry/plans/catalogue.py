@@ -88,8 +88,8 @@ def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DENSE = "SELECT q.vec_id AS query_id, v.label AS doc_id, v.vec_id AS position, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"
 
 
-def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+def _probes(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(capped_sql(_DENSE, 5, 2))
@@ -97,13 +97,29 @@ def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense(tables.vectors(spark, sf_dir), _probes(spark, sf_dir)).select("query_id", "rank", "doc_id", "position", "score")
 
 
+@query()
+def search_dense_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every vector whose id is divisible by 20 (the SQL of ``search_dense`` asks a fifth of them)."""
+    return search.dense(tables.vectors(spark, sf_dir), _probes(spark, sf_dir, 20)).select("query_id", "rank", "doc_id", "position", "score")
+
+
 _FUSED = f"SELECT query_id, doc_id, position, round(sum(1 / (60.0 + rank)::DOUBLE), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL"
 
 
 @query(f"WITH a AS ({capped_sql(_DENSE, 50, 0)}), b AS ({capped_sql(_DENSE, 50, 1)}) {capped_sql(_FUSED, 5, 2)}")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank fusion of two rankings of one set of chunks: all vectors, and the best of each document."""
-    v, q = tables.vectors(spark, sf_dir), _probes(spark, sf_dir)
+    return _fused(spark, sf_dir, _probes(spark, sf_dir))
+
+
+@query()
+def search_fused_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every vector whose id is divisible by 20."""
+    return _fused(spark, sf_dir, _probes(spark, sf_dir, 20))
+
+
+def _fused(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
     return search.fuse(search.dense(v, q, 50, 0), search.dense(v, q, 50, 1)).select("query_id", "rank", "doc_id", "position", "score")
 
 

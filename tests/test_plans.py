@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -30,3 +31,31 @@ def test_result_rows_decompose_answers(spark, tmp_path):
     finally:
         catalogue.evaluation.scored = old
     assert row.answer_in_context and row.answer_in_gold_context and seen == [False]
+
+
+def test_every_twentieth_vector_is_asked(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, i % 7, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(130)]
+    at = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
+
+    def ranked(scores, k, per_doc):  # (score, doc, position), as capped_sql orders them
+        kept, seen = [], {}
+        for s, d, p in sorted(scores, key=lambda x: (-x[0], x[2])):
+            seen[d] = seen.get(d, 0) + 1
+            if not per_doc or seen[d] <= per_doc:
+                kept.append((s, d, p))
+        return sorted(kept, key=lambda x: (-x[0], x[1], x[2]))[:k]
+
+    dense, fused = set(), set()
+    for i, _, v in rows:
+        if i % 20 == 0:
+            scores = [(round(sum(a * b for a, b in zip(v, w)), 5), d, j) for j, d, w in rows]
+            dense |= {(i, r, d, p) for r, (_, d, p) in enumerate(ranked(scores, 5, 2), 1)}
+            total = {}
+            for per_doc in (0, 1):
+                for r, (_, d, p) in enumerate(ranked(scores, 50, per_doc), 1):
+                    total[d, p] = total.get((d, p), 0) + 1 / (60 + r)
+            fused |= {(i, r, d, p) for r, (_, d, p) in enumerate(ranked([(round(s, 9), *dp) for dp, s in total.items()], 5, 2), 1)}
+    for name, want in (("search_dense_all", dense), ("search_fused_all", fused)):
+        assert {(r.query_id, r["rank"], r.doc_id, r.position) for r in catalogue.QUERIES[name](spark, at).collect()} == want and len({q for q, *_ in want}) == 7
