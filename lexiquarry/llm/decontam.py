@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.common import batches, record, table
 
 RATE = 0.1
-SHORTEST = 16  # bytes; shorter items say nothing about where they come from and are left out
+SHORTEST = 16  # bytes; shorter items are looked for as they are, between word bounds
 WALKS = 6
 TABLES = 10
 SYMBOLS = 3
 ITEM_BYTES = 16 << 20
+#: bytes that words are made of: letters, digits, and those of UTF-8 beyond ASCII
+_WORDY = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,6 +139,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, seed: int = 5):
         rows = sorted((len(b), i, b) for i, b in ((i, normalise(t)) for i, t in items) if len(b) >= SHORTEST)
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by length
+        for i, t in items:
+            if 0 < len(b := normalise(t)) < SHORTEST:
+                self.short.setdefault(len(b), {}).setdefault(b, []).append(i)
         self.classes: list[_Class] = []
         for short in (True, False):
             some = [r for r in rows if (r[0] < 64) == short]
@@ -162,6 +168,19 @@ class Index:
     def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
         return (grams * _ODD) >> np.uint64(64 - bits)
 
+    def find_short(self, blob: bytes, data: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], int]:
+        """``{(text's place, item): 0}`` for the items under ``SHORTEST`` bytes."""
+        found: dict[tuple[int, int], int] = {}
+        if self.short:
+            inner = np.pad(_WORDY[data], (1, 1 + SHORTEST))
+            bound = ~(inner[:-1] & inner[1:])  # a word neither goes on before this byte nor ends here
+            starts = np.flatnonzero(bound[: len(data)])
+            for n, some in self.short.items():
+                for at in starts[bound[starts + n]].tolist():
+                    for i in some.get(blob[at : at + n], ()):
+                        found[int(np.searchsorted(ends, at, "right")), i] = 0
+        return found
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """Rows (text's place, item, edits) for every item that a text holds."""
         parts = [normalise(t) for t in texts]
@@ -176,7 +195,7 @@ class Index:
             got = mark[self._slot(grams[q], bits)]
             at = np.flatnonzero(got)
             hits[q] = (at, got[at])
-        best: dict[tuple[int, int], int] = {}
+        best = self.find_short(blob, data, ends)
         words, opens = np.append(True, (data[:-1] == 32) | (data[:-1] == 10)), np.zeros(len(data), bool)
         for b, c in enumerate(self.classes):
             at, got = hits[c.q]
@@ -224,7 +243,7 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``(doc_id, item_id, edits)``: every item that a document's text holds, with the least edits.
 
-    Null and empty texts hold nothing; null items and those under ``SHORTEST`` bytes are left out; ids may be null or repeat;
+    Null and empty texts hold nothing; null and empty items are left out, those under ``SHORTEST`` bytes are matched exactly at word bounds; ids may be null or repeat;
     either table may be empty.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])

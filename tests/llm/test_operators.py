@@ -337,6 +337,13 @@ def test_decontamination(spark, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_at_word_bounds():
+    index = decontam.Index([(1, "Tiny"), (2, "a  b"), (3, ""), (4, "tiny"), (5, "a long item of many bytes")])
+    got = index.find(["destiny", "a TINY, thing", None, "x a b", "a bc", "tiny", "here a long item of many bytes"])
+    assert [g[:2] for g in got] == [(1, 1), (1, 4), (3, 2), (5, 1), (5, 4), (6, 5)]
+    assert decontam.Index([(1, "tiny")]).find(["", "tiny"]) == [(1, 1, 0)]
+
+
 def test_fuzzy_find_is_exact():
     rng = random.Random(9)
 
