@@ -192,14 +192,15 @@ def spelled_date(c) -> Column:
     return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.date_format(F.try_to_date(c), "MMMM d, yyyy"))
 
 
-def sketch(c, k: int = 256, shingle: int = 5, most: int = 20_000, hashing=F.crc32) -> Column:
-    """The ``k`` least hashes of a text's word shingles; a shorter text has one, of all its words."""
+def sketch(c, k: int = 256, shingle: int = 5, most: int | None = 20_000, hashing=F.crc32) -> Column:
+    """The ``k`` least hashes of the shingles of a text's first ``most`` words (None: all); a shorter text has one, of all its words."""
     def of(w):  # a variable of a lambda: the words are split once and not for each shingle
         whole = F.array(hashing(F.array_join(w, " ")))
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: hashing(F.array_join(F.slice(w, i, shingle), " ")))
         return F.slice(F.array_sort(F.array_distinct(F.when(F.size(w) < shingle, whole).otherwise(each))), 1, k)
 
-    return F.transform(F.array(F.slice(F.split(collapsed(c), " "), 1, most)), of)[0]
+    words = F.split(collapsed(c), " ")
+    return F.transform(F.array(words if most is None else F.slice(words, 1, most)), of)[0]
 
 
 def md5_hash(c) -> Column:

@@ -210,8 +210,8 @@ _CLUSTERS = f"""WITH RECURSIVE {_PAIRS},
   clusters AS (SELECT doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM named)"""
 
 
-def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.sketches(docs(spark, sf_dir), hashing=T.md5_hash)
+def _sketched(spark: SparkSession, sf_dir: str, most: int | None = 20_000) -> DataFrame:
+    return duplicates.sketches(docs(spark, sf_dir), hashing=T.md5_hash, most=most)
 
 
 @query(_CLUSTERS.format(0.6, 0.6) + " SELECT * FROM clusters")
@@ -226,8 +226,8 @@ def nearest_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_clusters_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same clusters over CRC-32 sketches, which SQL lacks."""
-    return duplicates.clusters(duplicates.sketches(docs(spark, sf_dir)), duplicates.EXACT)
+    """The same clusters over CRC-32 sketches of whole texts, which SQL lacks."""
+    return duplicates.clusters(duplicates.sketches(docs(spark, sf_dir), most=None), duplicates.EXACT)
 
 
 @query(_CLUSTERS.format(0.6, 0.6) + " SELECT cluster_id, size, agency FROM (SELECT cluster_id, size, source AS agency, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, source) AS n FROM clusters JOIN documents USING (doc_id) GROUP BY cluster_id, size, source) WHERE n = 1")
@@ -339,7 +339,7 @@ def fact_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole builder over documents that state a docket: the first four words of each text stand for one."""
     d = docs(spark, sf_dir).withColumns({"docket_ids": F.array(F.array_join(F.slice(T.words("text"), 1, 4), " ")), "regulation_id_numbers": F.array().cast("array<string>"), "comments_close_on": F.lit(None).cast("string"), "effective_on": F.lit(None).cast("string")})
-    made = questions.question_set(d, d, duplicates.clusters(_sketched(spark, sf_dir), duplicates.MAKER), 40)
+    made = questions.question_set(d, d, duplicates.clusters(_sketched(spark, sf_dir, None), duplicates.MAKER), 40)
     return made.select("id", "type", "question", "answer", "gold_doc", F.array_join("distractors", " ").alias("distractors"))
 
 

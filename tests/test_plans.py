@@ -59,3 +59,13 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path):
             fused |= {(i, r, d, p) for r, (_, d, p) in enumerate(ranked([(round(s, 9), *dp) for dp, s in total.items()], 5, 2), 1)}
     for name, want in (("search_dense_all", dense), ("search_fused_all", fused)):
         assert {(r.query_id, r["rank"], r.doc_id, r.position) for r in catalogue.QUERIES[name](spark, at).collect()} == want and len({q for q, *_ in want}) == 7
+
+
+def test_clusters_read_whole_texts(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    head, tail = text(20_000), text(40_000)
+    rows = [(1, f"{head} {text(40_000)}"), (2, f"{head} {text(40_000)}"), (3, f"{text(500)} {tail}"), (4, f"{text(500)} {tail}")]
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    assert {(r.doc_id, r.cluster_id) for r in catalogue.QUERIES["near_clusters_crc"](spark, at).collect()} == {(3, 3), (4, 3)}
