@@ -89,9 +89,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return plans.join(edge.select("s", F.col("o").alias("cut_block")), "s", "left").join(last, "s", "left").select("s", "tokens", "a", "weight", "quota", "epoch", "rest", "n_blocks", "cut_block", F.coalesce("cut_doc", F.lit(-1)).alias("cut_doc"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """``docs`` with a row for each time a document is read, and ``_epoch``, ``_block``, ``_order``, ``_rank`` (the reading order
-    is that of epoch, order, rank).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, places: bool = True, **options) -> DataFrame:
+    """``docs`` with a row for each time a document is read, and (``places``) ``_epoch``, ``_block``, ``_order``, ``_rank``: the reading order
+    is that of epoch, order, rank. Where ``docs`` has such a column the new one's name gets further underscores in front.
 
     Null sources count as the source "". Documents without a word carry no tokens and are read once in each whole pass.
     Ties of ids share their keys, so they are read together. An empty table gives no rows.
@@ -105,7 +105,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.select("*", block.alias("b"), order.alias("o"), doc.alias("d"))
     part = (F.col("o") < F.col("cut_block")) | ((F.col("o") == F.col("cut_block")) & (F.col("d") <= F.col("cut_doc")))
     rows = rows.where((F.col("epoch") < F.col("whole")) | F.coalesce(part & (F.col("rest") > 0), F.lit(False)))
-    return rows.select(*[F.col(v).alias(k) for k, v in names.items()], F.col("epoch").alias("_epoch"), F.col("b").alias("_block"), F.col("o").alias("_order"), F.col("d").alias("_rank"))
+    taken = {c.lower() for c in names}
+    free = lambda c: c if c not in taken else free("_" + c)
+    new = [F.col(c).alias(free(k)) for c, k in (("epoch", "_epoch"), ("b", "_block"), ("o", "_order"), ("d", "_rank"))]
+    return rows.select(*[F.col(v).alias(k) for k, v in names.items()], *new * places)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes (fp, low)`` with ``root``, the least fingerprint reachable."""
+    roots = components(links(classes, classes.count(), radius))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return materialise(named, "named")
+
+
 class Groups:
     """Group labels of one shard's members: always the least index, always flat."""
 
@@ -182,14 +189,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     free_shuffles(docs.sparkSession)
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = components(links(classes, classes.count(), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "named")
+    named = _rooted(classes, radius)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     member = materialise(named.join(lows, "root").select(F.col("fp").alias("of"), "component_id"), "members")
     return prints.join(member, prints.fp == member.of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, all columns unchanged: the row of the smallest id.
+
+    Rows count, not ids: different texts of one id are judged apart, copies under one id or without an id leave one row, and a row
+    without an id stays only if its group has no row with one. Among rows of the smallest id the least fingerprint, then text hash, stays; of rows equal in
+    all that, any one. Null and wordless texts are one group (fingerprint zero). Columns may have any names. No rows give no rows.
+    """
+    free_shuffles(docs.sparkSession)
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, columns))
+    rows = materialise(docs.toDF(*columns).withColumn("tag", F.monotonically_increasing_id()), "tagged")
+    schema = pa.schema([("tag", pa.int64()), ("i", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+
+    def run(source):
+        for batch in batches(source):
+            got = np.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
+            yield record(schema, batch.column(0), batch.column(1), batch.column(2), got)
+
+    text = F.col(at[text_col]).cast("string")
+    prints = rows.select("tag", F.col(at[id_col]).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, "tag long, i long, h long, fp long")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull().alias("nameless"), "i", "fp", "h", "tag")).alias("low"))
+    named = _rooted(materialise(classes, "classes"), radius)
+    kept = materialise(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.tag").alias("tag")), "kept")
+    return rows.join(kept, "tag", "left_semi").select(columns).toDF(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

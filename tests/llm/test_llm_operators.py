@@ -131,6 +131,16 @@ def test_simhash(docs, nothing, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, nothing):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b), (9, b), (2, None), (5, ""), (None, None), (11, "x " * 50_000), (12, "x " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(4) for k in ("kept", "tag", "_first", "low", "fp", "c0")})
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2], r.kept, r.tag) for r in got.collect()) == [(0, "c0", 4, 4), (2, "", 4, 4), (3, "a0", 4, 4), (7, "b0", 4, 4), (11, "x ", 4, 4)]
+    assert simhash.keep_one(nothing).count() == 0
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(3)
     v = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 900)] ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)))
@@ -163,7 +173,7 @@ def test_token_file(docs, nothing, spark, tmp_path):
 def test_pieces_are_encoded_like_whole_texts():
     from tokenizers import Tokenizer
 
-    tok, enc, rng = Tokenizer.from_file(tokenbin.vocabulary()), tokenbin.Encoder(tokenbin.vocabulary(), pieces=40), random.Random(5)
+    tok, enc, rng = Tokenizer.from_file(tokenbin.vocabulary()), tokenbin.Encoder(tokenbin.vocabulary()), random.Random(5)
     parts = ["abc", " ", "  ", "\n", " \n", "\n ", "a.", "é", "ß.", "I'm", "12", "\t", "　", "<|endoftext|>", "日本", "!!", "\xa0", "", "\x85", "\x1c", "😀"]
     for _ in range(300):
         some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3)]
@@ -268,6 +278,8 @@ def test_mixing(spark, nothing):
     assert plan["big"].weight < plan["big"].tokens / sum(p.tokens for p in plan.values())
     assert mixing.mix(docs, block_tokens=64).columns[: len(docs.columns)] == docs.columns
     assert mixing.mix(nothing).count() == 0
+    again = mixing.mix(mixing.mix(docs, block_tokens=64), block_tokens=64)
+    assert again.columns[-8:] == ["_epoch", "_block", "_order", "_rank", "__epoch", "__block", "__order", "__rank"] and mixing.mix(docs, places=False).columns == docs.columns
 
 
 def test_secrets(spark, nothing):
@@ -395,7 +407,7 @@ def test_fuzzy_lines(spark, nothing):
                 label = [min(x, y) if v in (x, y) else v for v in label]
     best = {}
     for g, line in zip(label, lines):
-        best[g] = min([best[g]] * (g in best) + places[line])
+        best[g] = min(([best[g]] if g in best else []) + places[line])
     gone = collections.Counter(p[1] if p[0] else None for g, line in zip(label, lines) for p in places[line] if p != best[g])
     assert {i: r.n_removed for i, r in got.items()} == {i: gone[i] for i, *_ in rows} and sum(gone.values()) > 50
     assert got[100].kept is None and got[101].kept == b"" and got[100].n_lines == 0
