@@ -1,32 +1,28 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, token-ID output.
 
-Each stage reads what its predecessor wrote, all of it. All but the last keep the columns of ``documents``.
+Each stage reads what its predecessor wrote, all of it. All but the last keep the columns of ``documents``, and further columns of any name.
+
+Every stage takes an empty table and gives one. Ids may be null or repeat: each row is judged by its own text, so rows that share an id may part ways
+(near_dedup prefers rows with an id; mixing reads them together; token output puts null ids first and orders rows of one id by text). Null, empty and
+letterless texts go with language_id, as unrecognised. Repeated rows are near-duplicates, of which one stays. A null source is the source "".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lexiquarry.llm import decontam, langid, mixing, simhash, tokenbin
-from lexiquarry.session import free_shuffles, materialise, small
+from lexiquarry.session import free_shuffles, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language is not recognised."""
+    """Drop the documents whose language is not recognised, null and letterless texts among them; a table without labels to learn from recognises none."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id. Rows without an id stay if their group has no named one."""
-    found = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    kept = materialise(found, "kept")
-    # one shuffle by id serves the choice among rows that share an id and the join
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where("doc_id is not null").withColumn("_first", first).where("_first = 1").drop("_first")
-    named = named.join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
-    nameless = docs.where("doc_id is null").join(small(kept.where("kept is null").limit(1)), how="left_semi")
-    return named.unionByName(nameless)
+    """Keep one document of each group: the row with the smallest id; one without an id only if its group has no other. Rows are judged one by one, whatever ids they share."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mixture reads a document."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, places=False)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
