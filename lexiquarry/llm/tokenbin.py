@@ -10,11 +10,12 @@ each ends with a document and can be decoded alone, by any task.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,110 +32,170 @@ LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 LANES = 512
 STRIDE = 128  # steps between checkpoints
 BLOCK = 1 << 17  # ids after which a block ends at the next document
-PIECES = 400_000  # distinct pieces whose ids a worker remembers; more are encoded again, with the same ids
 
 
 # ---------------------------------------------------------------- text to ids
 
 
-class _Index(dict):
-    """Numbers pieces as they first appear and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        at = self[piece] = len(self)
-        self.new.append(piece)
-        return at
+class Merger:
+    """Byte-pair merges of many short byte strings at once: in each round every string makes its next merge, the one of least rank, the leftmost among equals."""
+
+    NONE = 1 << 30  # above every rank
+    WIDTHS = (8, 16, 32, 64)  # strings are worked on beside others of about their length
+
+    def __init__(self, model: dict, letters: dict[int, int]):
+        vocab = model["vocab"]
+        self.byte = np.array([vocab.get(chr(letters[x]), -1) for x in range(256)], np.int32)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.size = np.uint64(max(vocab.values()) + 1)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.uint64).reshape(-1, 2)
+        keys = pairs[:, 0] * self.size + pairs[:, 1] + np.uint64(1)
+        # a table with open addressing; 0 marks a free slot
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.NONE, np.int32)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+            while self.keys[slot] and self.keys[slot] != key:
+                slot = slot + 1 & self.mask
+            if not self.keys[slot]:
+                self.keys[slot], self.ranks[slot] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of two symbols, ``NONE`` where there is none."""
+        keys = a.astype(np.uint64) * self.size + b.astype(np.uint64) + np.uint64(1)
+        slot = self._slot(keys)
+        out, left = np.full(len(keys), self.NONE, np.int32), None
+        while True:
+            held = self.keys[slot]
+            same = held == keys
+            hit = np.flatnonzero(same)
+            out[hit if left is None else left[hit]] = self.ranks[slot[hit]]
+            on = np.flatnonzero(~same & (held != 0))
+            if not len(on):
+                return out
+            left = on if left is None else left[on]
+            keys, slot = keys[on], slot[on] + 1 & self.mask
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at ``starts`` (1 to ``WIDTHS[-1]`` bytes each), end to end, and how many each has."""
+        count, parts = np.zeros(len(lens), np.int64), []
+        for low, width in zip((0, *self.WIDTHS), self.WIDTHS):
+            rows = np.flatnonzero((lens > low) & (lens <= width))
+            for at in range(0, len(rows), 1 << 14):
+                some = rows[at : at + (1 << 14)]
+                ids = self._merged(data, starts[some], lens[some], width)
+                count[some] = (ids >= 0).sum(1)
+                parts.append((some, ids))
+        begin = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.uint32)
+        for some, ids in parts:
+            used = ids >= 0
+            flat[(begin[some][:, None] + np.arange(ids.shape[1]))[used]] = ids[used]
+        return flat, count
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
+        """A row of ids for each string, filled with -1."""
+        place = np.arange(width)
+        inside = place < lens[:, None]
+        ids = np.where(inside, self.byte[data[np.minimum(starts[:, None] + place, len(data) - 1)]], -1).astype(np.int32)
+        ranks = np.full(ids.shape, self.NONE, np.int32)
+        y, x = np.nonzero(inside[:, 1:])
+        ranks[y, x] = self.rank(ids[y, x], ids[y, x + 1])
+        out, rows = np.full(ids.shape, -1, np.int32), np.arange(len(ids))
+        while len(rows):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            done = best == self.NONE
+            if done.any():
+                out[rows[done], : ids.shape[1]] = ids[done]
+                on = ~done
+                rows, ids, ranks, at, best = rows[on], ids[on], ranks[on], at[on], best[on]
+                if not len(rows):
+                    break
+                if (longest := int((ids >= 0).sum(1).max())) < ids.shape[1]:
+                    ids, ranks = ids[:, :longest], ranks[:, :longest]
+            each, stay = np.arange(len(rows)), np.arange(ids.shape[1]) <= at[:, None]
+            ids = np.where(stay, ids, np.pad(ids[:, 1:], ((0, 0), (0, 1)), constant_values=-1))
+            ranks = np.where(stay, ranks, np.pad(ranks[:, 1:], ((0, 0), (0, 1)), constant_values=self.NONE))
+            ids[each, at] = self.made[best]
+            ranks[each, at] = self.NONE
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at + 1 < ids.shape[1])
+            right = right[ids[right, at[right] + 1] >= 0]
+            ranks[right, at[right]] = self.rank(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
 
 
 class Encoder:
-    """Whole texts to token ids, exactly as the tokenizers library gives them, remembering the ids of pieces.
+    """Whole texts to token ids, exactly as the tokenizers library gives them.
 
     A text is cut before a space that touches a non-space on either side; the byte-level pre-tokenizer always starts a new unit
-    there, so pieces are encoded independently. Texts where three whitespace characters surround a space, or that hold an
-    added token's string, go to the library whole.
+    there, so pieces are encoded independently, each distinct piece of a batch once. Pieces of Latin letters, with a mark after them or not, are
+    merged here, all at once; others go to the library. So do, whole, texts where three whitespace characters surround a space, or that hold an
+    added token's string. Nothing is kept from batch to batch.
     """
 
     _unsafe = re.compile(r"\s \s|^ \s|\s $|^ $")
     #: white space besides the space and the line feed; texts without any of it need only cheap tests
-    _rare = [chr(x) for x in range(0x3001) if chr(x).isspace() and chr(x) not in " \n"]
+    _rare = re.compile("[" + "".join(chr(x) for x in range(0x3001) if chr(x).isspace() and chr(x) not in " \n") + "]")
+    MARKS = b".,;:!?"
 
-    def __init__(self, path: str, pieces: int = PIECES):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cap = pieces
         self.size = self.tok.get_vocab_size()
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in set(kept)]
-        self.letters = {x: x for x in kept} | {x: 256 + i for i, x in enumerate(rest)}  # the byte alphabet of byte-level vocabularies
-        self.lead = ["", chr(self.letters[32])]
-        self.index = [_Index(), _Index()]  # pieces without and with a leading space
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.lens = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-    def _word(self, side: int, word: str) -> list[int]:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(self.lead[side] + mapped)]
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or max(word) < "ɐ")
-
-    def _learn(self, side: int) -> None:
-        """Find the ids of the new pieces: letters alone go to the model, with a mark after them in two parts, others to the whole tokenizer."""
-        index, new = self.index[side], self.index[side].new
-        if not new:
-            return
-        known, plain, word = len(self.starts[side]), self._plain, self._word
-        marks = {m: word(0, m) for m in ".,;:!?"}
-        out: list[list[int] | None] = [None] * len(new)
-        rest = []
-        for i, w in enumerate(new):
-            if plain(w):
-                out[i] = word(side, w)
-            elif w and w[-1] in marks and plain(w[:-1]):
-                at = index.get(w[:-1], -1)
-                if 0 <= at < known:
-                    start = self.starts[side][at]
-                    head = self.flat[start : start + self.lens[side][at]].tolist()
-                elif known <= at and (got := out[at - known]) is not None:
-                    head = got
-                else:
-                    head = word(side, w[:-1])
-                out[i] = head + marks[w[-1]]
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tok.encode_batch_fast([" " * side + new[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        lens = np.fromiter(map(len, out), np.int64, len(out))
-        self.starts[side] = np.concatenate([self.starts[side], len(self.flat) + np.cumsum(lens) - lens])
-        self.lens[side] = np.concatenate([self.lens[side], lens])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum()))])
-        new.clear()
-
-    @staticmethod
-    def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.cumsum(lens)
-        return flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-    def _forget(self, side: int, known: int, end: int) -> None:
-        """Drop what the last texts added to a full index: the pieces after ``known``, whose ids follow ``end``."""
-        index = self.index[side]
-        for k in list(islice(reversed(index), len(index) - known)):
-            del index[k]
-        self.starts[side], self.lens[side], self.flat = self.starts[side][:known], self.lens[side][:known], self.flat[:end]
+        letters = {x: x for x in kept} | {x: 256 + i for i, x in enumerate(rest)}  # the byte alphabet of byte-level vocabularies
+        with open(path, encoding="utf-8") as f:
+            self.merge = Merger(json.load(f)["model"], letters)
+        self.mark = self.merge.byte[list(range(256))].astype(np.uint32)
+        # bytes that Latin letters up to U+024F are made of; what else those bytes can make is told apart by pairs
+        self.other = np.ones(256, np.int64)
+        self.other[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
+        self.is_mark = np.zeros(256, bool)
+        self.is_mark[list(self.MARKS)] = True
 
     def _whole(self, text: str) -> bool:
         """Whether a text must go to the library in one part."""
-        odd = "  " in text or "\n \n" in text or text[0] == " " or text[-1] == " " or any(c in text for c in self._rare)
+        odd = "  " in text or "\n \n" in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
         return bool(odd and self._unsafe.search(text)) or any(a in text for a in self.added)
 
+    def _pieces(self, pieces: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, starts, lengths) of pieces; ``spaced`` says which begin with a space."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.frombuffer(pieces.buffers()[2] or b"\0", np.uint8)
+        bad = self.other[data]
+        pair = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC9) & (data[1:] >= 0x90)
+        bad[:-1] += pair
+        upto = np.concatenate([[0], np.cumsum(bad)])
+        start, end = offsets[:-1], offsets[1:]
+        first = start + spaced
+        marked = (end - first > 1) & self.is_mark[data[np.maximum(end - 1, 0)]]
+        last = end - marked
+        plain = (last > first) & (upto[last] == upto[np.minimum(first, len(data))]) & (last - start <= Merger.WIDTHS[-1])
+        own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        flat, count = self.merge(data, start[own], (last - start)[own])
+        lens = np.zeros(len(pieces), np.int64)
+        lens[own] = count + marked[own]
+        others = [e.ids for e in self.tok.encode_batch_fast(pieces.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+        lens[rest] = [len(x) for x in others]
+        starts = np.cumsum(lens) - lens
+        ids = np.empty(int(lens.sum()), np.uint32)
+        ids[np.repeat(starts[own] - np.cumsum(count) + count, count) + np.arange(len(flat))] = flat
+        with_mark = own[marked[own]]
+        ids[starts[with_mark] + lens[with_mark] - 1] = self.mark[data[end[with_mark] - 1]]
+        at = np.repeat(starts[rest] - np.cumsum(lens[rest]) + lens[rest], lens[rest]) + np.arange(int(lens[rest].sum()))
+        ids[at] = np.fromiter(chain.from_iterable(others), np.uint32, len(at))
+        return ids, starts, lens
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end mark; a null text counts as empty."""
         out: list = [np.zeros(0, np.uint32)] * len(texts)
@@ -149,23 +210,16 @@ class Encoder:
         lists = pc.split_pattern(pa.array([texts[i] for i in todo], pa.large_string()), " ")
         begin = lists.offsets.to_numpy()
         words = lists.flatten().dictionary_encode()
-        mine = np.fromiter(map(self.index[1].__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
-        first = np.fromiter(map(self.index[0].__getitem__, (texts[i].split(" ", 1)[0] for i in todo)), np.int64, len(todo))
-        known = [len(x) for x in self.starts]
-        ends_at = [len(self.flat)]
-        for side in (0, 1):
-            self._learn(side)
-            ends_at.append(len(self.flat))
-        starts, lens = self.starts[1][mine], self.lens[1][mine]
-        starts[begin[:-1]], lens[begin[:-1]] = self.starts[0][first], self.lens[0][first]
-        ids, ends = self._gather(self.flat, starts, lens)
-        for i, part in zip(todo, np.split(ids, ends[begin[1:-1] - 1])):
+        mine = words.indices.to_numpy().astype(np.int64)
+        heads, head = np.unique(mine[begin[:-1]], return_inverse=True)  # texts begin without a space
+        pieces = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.dictionary, pa.scalar(" ", pa.large_string())), words.dictionary.take(pa.array(heads))])
+        ids, starts, lens = self._pieces(pieces, np.arange(len(pieces)) < len(words.dictionary))
+        mine[begin[:-1]] = len(words.dictionary) + head
+        each = lens[mine]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(starts[mine] - ends + each, each) + np.arange(int(ends[-1]))]
+        for i, part in zip(todo, np.split(flat, ends[begin[1:-1] - 1])):
             out[i] = part
-        full = [k >= self.cap for k in known]
-        if full[1]:
-            self._forget(1, known[1], ends_at[1])
-        if all(full):
-            self._forget(0, known[0], ends_at[0])
         return out
 
 
@@ -300,7 +354,8 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(run, _RAW)
+    # the beginning of the text parts rows that share an id, or have none; its order is that of whole texts
+    return rows.repartitionByRange("i", F.left("t", F.lit(32))).sortWithinPartitions("i", "t").mapInArrow(run, _RAW)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
