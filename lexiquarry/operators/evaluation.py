@@ -46,20 +46,25 @@ def scored(questions: DataFrame, hits: DataFrame, chunks: DataFrame, answers: Da
     return both.select(*out.columns, "generated", refused.alias("refused"), right.alias("answer_correct"), "generation_error")
 
 
-def _part(part: Column, whole: Column) -> Column:
+def share_of(part: Column, whole: Column) -> Column:
+    """Null where there is nothing to take a share of."""
     return F.when(whole > 0, part / whole)
 
 
+def answerable() -> Column:
+    return F.coalesce("gold_doc", F.lit("")) != ""
+
+
 def retrieval_metrics(results: DataFrame, by: str | None = None) -> DataFrame:
     """Questions, hit rate, mean reciprocal rank over all answerable ones, first places; whether the answer was retrieved, and from the right document."""
-    rows = results.where(F.coalesce("gold_doc", F.lit("")) != "")
+    rows = results.where(answerable())
     n = F.count("*")
     got = F.count_if("answer_in_context"), F.count_if("answer_in_gold_context")
     known = F.count("answer_in_gold_context")
     hits = F.count_if("hit")
     return (rows.groupBy(by) if by else rows.groupBy()).agg(
-        n.alias("questions"), hits.alias("hits"), F.round(_part(hits, n), 6).alias("hit_rate"), F.round(_part(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))), n), 6).alias("mrr"), F.count_if(F.col("rank") == 1).alias("first"),
-        got[0].alias("in_context"), got[1].alias("in_gold_context"), F.round(_part(hits - got[1], known), 6).alias("gap"),
+        n.alias("questions"), hits.alias("hits"), F.round(share_of(hits, n), 6).alias("hit_rate"), F.round(share_of(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))), n), 6).alias("mrr"), F.count_if(F.col("rank") == 1).alias("first"),
+        got[0].alias("in_context"), got[1].alias("in_gold_context"), F.round(share_of(hits - got[1], known), 6).alias("gap"),
     )
 
 
@@ -69,13 +74,13 @@ def scorable(most: int = 5) -> Column:
 
 
 def answer_metrics(results: DataFrame, most: int = 5) -> DataFrame:
-    answerable = F.coalesce("gold_doc", F.lit("")) != ""
-    counted = scorable(most) & answerable
+    asked = answerable()
+    counted = scorable(most) & asked
     right, n = F.count_if(counted & F.col("answer_correct")), F.count_if(counted)
-    open_, said_no = F.count_if(~answerable & F.col("generated").isNotNull()), F.count_if(~answerable & F.col("refused"))
+    open_, said_no = F.count_if(~asked & F.col("generated").isNotNull()), F.count_if(~asked & F.col("refused"))
     return results.agg(
-        n.alias("counted"), right.alias("correct"), F.round(_part(right, n), 6).alias("accuracy"), F.count_if(answerable & F.col("answer_correct").isNotNull() & ~scorable(most)).alias("excluded"),
-        F.count_if(F.coalesce("generation_error", F.lit("")) != "").alias("errors"), open_.alias("unanswerable"), said_no.alias("refused"), F.round(_part(said_no, open_), 6).alias("refusal_rate"), F.count_if(answerable & F.col("refused")).alias("wrong_refusals"),
+        n.alias("counted"), right.alias("correct"), F.round(share_of(right, n), 6).alias("accuracy"), F.count_if(asked & F.col("answer_correct").isNotNull() & ~scorable(most)).alias("excluded"),
+        F.count_if(F.coalesce("generation_error", F.lit("")) != "").alias("errors"), open_.alias("unanswerable"), said_no.alias("refused"), F.round(share_of(said_no, open_), 6).alias("refusal_rate"), F.count_if(asked & F.col("refused")).alias("wrong_refusals"),
     )
 
 
@@ -110,7 +115,7 @@ def verdict_report(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     right = F.count_if(F.coalesce("effective_correct", F.lit(False)))
     return rows.agg(
         n.alias("answers"), auto.alias("automated"), right.alias("reviewed"), bad.alias("bad_questions"), no.alias("refusals"), F.count_if(needs_review() & (v == "")).alias("unjudged"),
-        F.round(_part(auto, n), 6).alias("automated_accuracy"), F.round(_part(right, n - bad), 6).alias("reviewed_accuracy"), F.round(_part(right, n - bad - no), 6).alias("accuracy_without_refusals"),
+        F.round(share_of(auto, n), 6).alias("automated_accuracy"), F.round(share_of(right, n - bad), 6).alias("reviewed_accuracy"), F.round(share_of(right, n - bad - no), 6).alias("accuracy_without_refusals"),
     )
 
 

@@ -53,6 +53,14 @@ def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.where(F.weekday("day") < 5)
 
 
+def recent_days(spark: SparkSession, today: str | None = None, back: int = 30) -> DataFrame:
+    """The business days of the ``back`` days up to ``today``, which is what an ingestion that names no dates asks for."""
+    from datetime import date, timedelta
+
+    end = date.fromisoformat(today) if today else date.today()
+    return business_days(spark, (end - timedelta(days=back)).isoformat(), end.isoformat())
+
+
 def new_only(incoming: DataFrame, present: DataFrame, key: str = "document_number") -> DataFrame:
     """Rows whose key is not there yet."""
     return incoming.join(present.select(key).distinct(), key, "left_anti")
@@ -61,7 +69,7 @@ def new_only(incoming: DataFrame, present: DataFrame, key: str = "document_numbe
 def corpus_stats(docs: DataFrame, id_col: str = "document_number", date_col: str | None = "publication_date") -> DataFrame:
     """One row: documents, words, their whole-number mean, the longest document, first and last date."""
     dates = [F.min(date_col).alias("first_date"), F.max(date_col).alias("last_date")] if date_col else []
-    return docs.agg(F.count("*").alias("documents"), F.sum("word_count").alias("words"), F.expr("sum(word_count) div count(*)").alias("mean_words"), F.max_by(id_col, F.struct("word_count", -F.hash(F.lit(0)))).alias("longest"), *dates)
+    return docs.agg(F.count("*").alias("documents"), F.sum("word_count").alias("words"), F.expr("sum(word_count) div count(*)").alias("mean_words"), F.min_by(id_col, F.struct(-F.col("word_count"), id_col)).alias("longest"), *dates)
 
 
 def type_counts(docs: DataFrame, col: str = "type") -> DataFrame:

@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import text as T
 from lexiquarry.session import materialise, small
 
-# How questions are worded, by the field that answers them.
+#: How questions are worded, by the field that answers them (1: the agency, 2: the subject).
 WORDING = {
-    "comments_close_on": ("By what date must comments be received on the ", " rulemaking on ", "?"),
-    "effective_on": ("On what date does the ", " rule on ", " take effect?"),
-    "docket_ids": ("What is the docket number for the ", " rulemaking on ", "?"),
-    "regulation_id_numbers": ("What is the Regulation Identifier Number (RIN) for the ", " rulemaking on ", "?"),
+    "comments_close_on": "When does %1$s stop taking comments about %2$s?",
+    "effective_on": "When does what %1$s decided about %2$s come into force?",
+    "docket_ids": "Under which docket did %1$s file %2$s?",
+    "regulation_id_numbers": "Which RIN did %1$s give to %2$s?",
 }
+#: Questions that documents leave open, with the reason.
 UNANSWERED = (
-    (("What penalty does the ", " rule on ", " impose for a first offence?"), "the documents do not state a penalty"),
-    (("How many public comments did the ", " receive on ", " before the deadline?"), "comment counts are not published in these documents"),
+    ("How large is the fine that %1$s sets for breaking %2$s?", "documents name no fine"),
+    ("How many letters did %1$s get about %2$s?", "documents count no letters"),
 )
-FABRICATED = "drone parcel delivery corridors"
+#: A subject made up for a question; the phrase must be in no document.
+FABRICATED = "tidal kite mooring permits"
+INVENTED = f"When do applications for {FABRICATED} open?"
 MOST = 10  # documents that may state an answer
 
 
@@ -46,8 +49,8 @@ def _agency() -> Column:
 
 def worded(field: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, (a, b, c) in WORDING.items():
-        out = F.when(field == name, F.concat(F.lit(a), _agency(), F.lit(b), subject("title"), F.lit(c))).otherwise(out)
+    for name, wording in WORDING.items():
+        out = F.when(field == name, F.format_string(wording, _agency(), subject("title"))).otherwise(out)
     return out
 
 
@@ -164,14 +167,13 @@ def unanswerable_questions(docs: DataFrame, limit: int, seed: int = 0, id_col: s
     some = docs.select(id_col, "title", "agency_names", key.alias("_k")).orderBy("_k", id_col).limit(limit)
     some = some.withColumn("_w", F.conv(F.substring("_k", 1, 4), 16, 10).cast("int") % len(UNANSWERED)).withColumn("_o", F.row_number().over(Window.orderBy("_k", id_col)).cast("long"))
     question, note = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, ((a, b, c), why) in enumerate(UNANSWERED):
-        question = F.when(F.col("_w") == i, F.concat(F.lit(a), _agency(), F.lit(b), subject("title"), F.lit(c))).otherwise(question)
+    for i, (wording, why) in enumerate(UNANSWERED):
+        question = F.when(F.col("_w") == i, F.format_string(wording, _agency(), subject("title"))).otherwise(question)
         note = F.when(F.col("_w") == i, why).otherwise(note)
     null = F.lit(None).cast("string")
     real = some.select(question.alias("question"), null.alias("answer"), null.alias("answer_field"), null.alias("gold_doc"), F.lit(None).cast("long").alias("corpus_occurrences"), F.array(F.col(id_col).cast("string")).alias("d"), note.alias("n"), "_o")
-    a, b, c = WORDING["comments_close_on"]
     named = docs.where(F.contains(F.lower("text"), F.lit(FABRICATED))).limit(1)
-    fake = docs.sparkSession.range(1).join(named.select(F.lit(1).alias("_hit")), how="left").where("_hit is null").select(F.lit(f"By what date must comments be received on the proposed rule on municipal {FABRICATED}?").alias("question"), null.alias("answer"), null.alias("answer_field"), null.alias("gold_doc"), F.lit(None).cast("long").alias("corpus_occurrences"), F.array().cast("array<string>").alias("d"), F.lit("no such rulemaking is in the corpus").alias("n"), F.lit(1 << 40).cast("long").alias("_o"))
+    fake = docs.sparkSession.range(1).join(named.select(F.lit(1).alias("_hit")), how="left").where("_hit is null").select(F.lit(INVENTED).alias("question"), null.alias("answer"), null.alias("answer_field"), null.alias("gold_doc"), F.lit(None).cast("long").alias("corpus_occurrences"), F.array().cast("array<string>").alias("d"), F.lit("its subject is made up").alias("n"), F.lit(1 << 40).cast("long").alias("_o"))
     return _shape(real.unionByName(fake), "unanswerable", F.col("d"), F.col("n"))
 
 
@@ -275,20 +277,3 @@ def passages(docs: DataFrame, limit: int = 6, id_col: str = "document_number") -
     lines = lines.withColumn("_n", again).where("tier = 0 or _n = 1")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tier", "at"))
     return lines.withColumn("place", place).where(F.col("place") <= limit).select("doc_id", "place", "line")
-
-
-def authored_problems(records: DataFrame, docs: DataFrame, id_col: str = "document_number") -> DataFrame:
-    """What an authoring session checks of each record: the answer stands in its document; which title words the question reuses."""
-    own = docs.select(F.col(id_col).cast("string").alias("gold_doc"), F.col("text").alias("_t"), F.coalesce("title", F.lit("")).alias("_h"))
-    rows = records.join(own, "gold_doc", "left")
-    return rows.select("gold_doc", "question", "answer", F.coalesce(F.contains(F.lower("_t"), F.lower("answer")), F.lit(False)).alias("stated"), T.reused_words("question", F.coalesce("_h", F.lit("")), False).alias("title_words_reused"))
-
-
-def report(questions: DataFrame) -> DataFrame:
-    """Shares of types, fields and repeated answers of a question set, one row."""
-    n = F.count("*")
-    return questions.agg(
-        n.alias("questions"), F.count_if(F.col("type") == "fact").alias("facts"), F.count_if(F.col("type") == "discriminator").alias("discriminators"), F.count_if(F.col("type") == "unanswerable").alias("unanswerable"),
-        F.countDistinct("gold_doc").alias("documents"), F.max("corpus_occurrences").alias("most_occurrences"), F.count_if(F.col("answer_field").isin("docket_ids", "regulation_id_numbers")).alias("by_identifier"),
-        F.avg(F.when(F.col("type") == "discriminator", F.size("distractors"))).alias("distractors_each"),
-    )

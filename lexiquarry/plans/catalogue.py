@@ -153,7 +153,7 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- corpus inspection
 
 
-@query(f"WITH {DOCS} SELECT count(*) AS documents, sum(word_count)::BIGINT AS words, (sum(word_count) // count(*))::BIGINT AS mean_words, arg_max(doc_id, word_count) AS longest FROM docs")
+@query(f"WITH {DOCS} SELECT count(*) AS documents, sum(word_count)::BIGINT AS words, (sum(word_count) // count(*))::BIGINT AS mean_words, (SELECT doc_id FROM docs ORDER BY word_count DESC, doc_id LIMIT 1) AS longest FROM docs")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.corpus_stats(docs(spark, sf_dir), date_col=None)
 
@@ -219,9 +219,9 @@ def near_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.clusters(_sketched(spark, sf_dir), duplicates.CLI)
 
 
-@query(f"WITH {_PAIRS} SELECT d.doc_id, coalesce(max(score), 0.0)::DOUBLE AS nearest FROM documents d LEFT JOIN (SELECT a AS doc_id, score FROM pairs WHERE score >= 0.2 UNION ALL SELECT b, score FROM pairs WHERE score >= 0.2) p USING (doc_id) GROUP BY d.doc_id")
+@query(f"WITH {_PAIRS} SELECT d.doc_id, coalesce(max(score), 0.0)::DOUBLE AS nearest FROM documents d LEFT JOIN (SELECT a AS doc_id, score FROM pairs UNION ALL SELECT b, score FROM pairs) p USING (doc_id) GROUP BY d.doc_id")
 def nearest_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.nearest(_sketched(spark, sf_dir), 0.2)
+    return duplicates.nearest(_sketched(spark, sf_dir))
 
 
 @query()
@@ -298,12 +298,6 @@ def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.leakage_report(questions.leakage(_gold(spark, sf_dir), docs(spark, sf_dir)))
 
 
-@query()
-def ablated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _gold(spark, sf_dir)
-    return questions.ablated(q, questions.leakage(q, docs(spark, sf_dir))).select("id", "question", F.array_join("removed_terms", " ").alias("removed_terms"))
-
-
 _KEY = "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ')"
 
 
@@ -367,12 +361,6 @@ def answer_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(tables.turns(spark, sf_dir).where(F.concat("question", "generated").rlike(r"^[\x00-\x7F]*$")), True)
 
 
-@query()
-def answer_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every pair, decomposed as the reference does (SQL lacks NFKD, so ``answer_matching`` has the ASCII pairs only)."""
-    return _matched(tables.turns(spark, sf_dir), False)
-
-
 def _matched(t: DataFrame, ascii_only: bool) -> DataFrame:
     said, want = T.plain_scored("generated", ascii_only), T.plain_scored(F.array_join(F.slice(T.words("question"), 1, 3), " "), ascii_only)
     return t.select("id", ((want != "") & F.contains(said, want)).alias("whole"), T.is_refusal(said).alias("refused"))
@@ -395,11 +383,6 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.retrieval_metrics(_results(spark, sf_dir)).select("questions", "hits", "hit_rate", "mrr", "first")
 
 
-@query()
-def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir).select("id", "gold_doc", F.array_join("retrieved", " ").alias("retrieved"), "answer_in_context", "answer_in_gold_context", "hit", "rank", "confused_with")
-
-
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """labels as results (the quality is the automatic score) and as verdicts (toxic: a bad question, every third otherwise correct)."""
     lab = table(spark, sf_dir, "labels")

@@ -52,15 +52,11 @@ TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[-/][a-z0-9]+)*')"
 WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
-_MASTHEAD = (
-    r"(?m)^\[Federal Register Volume.*?\]\s*$", r"(?m)^\[(?:Rules and Regulations|Proposed Rules|Notices)\]\s*$", r"(?m)^\[Pages? [0-9\-]+\]\s*$", r"(?m)^From the Federal Register Online.*?$",
-    r"(?m)^\[FR Doc No: [^\]]+\]\s*$", r"\[\[Page [0-9]+\]\]", r"(?m)^=+\s*$", r"(?m)^-{{5,}}\s*$",
-)
-
 
 def cleaned(c: str) -> str:
-    for p in _MASTHEAD:
-        c = f"regexp_replace({c}, '{p.replace('{{', '{').replace('}}', '}')}', '', 'g')"
+    """:func:`lexiquarry.functions.text.without_masthead` in SQL, from the same patterns (a flag and a group are spelled differently there)."""
+    for p in T.MASTHEAD:
+        c = f"regexp_replace({c}, '{p.replace('(?md)', '(?m)').replace('(?U:', '(?:')}', '', 'g')"
     return TRIM.replace("{}", f"regexp_replace({c}, '\\n{{3,}}', E'\\n\\n', 'g')")
 
 

@@ -1,19 +1,18 @@
 """Table schemas. All fields but a document's id may be missing."""
 
-_WORDS = "title type subtype abstract action citation html_url regulations_dot_gov_url correction_of executive_order_number presidential_document_number"
-_DATES = "publication_date effective_on comments_close_on signing_date"
-_NUMBERS = "volume start_page end_page page_length"
-_LISTS = "docket_ids regulation_id_numbers topics"
+# What a document keeps of what its source says about it.
+KEPT = [
+    "document_number", "title", "type", "subtype", "abstract", "action",
+    "publication_date", "effective_on", "comments_close_on", "signing_date",
+    "citation", "volume", "start_page", "end_page", "page_length",
+    "docket_ids", "regulation_id_numbers", "topics", "significant",
+    "html_url", "regulations_dot_gov_url", "correction_of",
+    "executive_order_number", "presidential_document_number",
+]
+#: Kinds of the fields that are not strings.
+KINDS = {"volume": "bigint", "start_page": "bigint", "end_page": "bigint", "page_length": "bigint", "docket_ids": "array<string>", "regulation_id_numbers": "array<string>", "topics": "array<string>", "significant": "boolean"}
+_BASE = [f"{name} {KINDS.get(name, 'string')}" for name in KEPT]
 
-#: What a document keeps of what its source says about it.
-KEPT = ["document_number", *f"{_WORDS} {_DATES} {_NUMBERS} {_LISTS}".split(), "significant"]
-
-
-def _fields(names: str, kind: str) -> list[str]:
-    return [f"{n} {kind}" for n in names.split()]
-
-
-_BASE = ["document_number string", *_fields(f"{_WORDS} {_DATES}", "string"), *_fields(_NUMBERS, "bigint"), *_fields(_LISTS, "array<string>"), "significant boolean"]
 DOCUMENT = ", ".join([*_BASE, "agency_names array<string>", "cfr_references array<string>", "text string", "char_count bigint", "word_count bigint"])
 DETAIL = ", ".join([*_BASE, "agencies array<struct<name:string,raw_name:string>>", "cfr_references array<struct<title:bigint,part:bigint>>", "raw_text_url string"])
 CHUNK = "chunk_id string, doc_id string, title string, agency string, text string, position int"

@@ -111,6 +111,14 @@ def fetch(listing: DataFrame, base: str, transport: Callable = http, key: str =
     return listing.select(key).mapInPandas(run, "document_number string, detail string, raw string")
 
 
+def probe(base: str, day: str, transport: Callable = http) -> dict | None:
+    """The details of one document of ``day``, which show the source's field names; None if the day has none."""
+    for number, *_ in list_day(base, day, [], transport):
+        body = get(f"{base}/{number}.json", transport)
+        return json.loads(body) if body else None
+    return None
+
+
 def missing_fields(sample: DataFrame, kept: list[str]) -> list[str]:
     """Fields that are expected of the source and that it does not have."""
     return sorted(set(kept) - set(sample.columns))

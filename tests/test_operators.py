@@ -63,7 +63,7 @@ def test_clusters_and_nearest(spark):
     docs = spark.createDataFrame([(1, base), (2, base), (3, base + " x"), (4, " ".join(f"v{i}" for i in range(60)))], "document_number long, text string")
     s = duplicates.sketches(docs)
     assert {(r.doc_id, r.cluster_id, r.size) for r in duplicates.clusters(s, 0.8).collect()} == {(1, 1, 3), (2, 1, 3), (3, 1, 3)}
-    near = {r.doc_id: r.nearest for r in duplicates.nearest(s, 0.2).collect()}
+    near = {r.doc_id: r.nearest for r in duplicates.nearest(s).collect()}
     assert near[1] == near[2] == 1.0 and 0.9 < near[3] < 1 and near[4] == 0
 
 
@@ -92,7 +92,7 @@ def test_candidates_are_verified_and_worded(spark):
     docs = some_docs(spark)
     got = questions.verified(questions.candidates(docs), docs).where("doc_id = 'd3'").orderBy("place").collect()
     assert [(r.field, r.answer, r.corpus_occurrences) for r in got] == [("comments_close_on", "September 3, 2026", 1), ("docket_ids", "D-3", 1)]
-    assert got[1].question == "What is the docket number for the Guard rulemaking on Safety Zone for Lake 3, NY?"
+    assert got[1].question == "Under which docket did Guard file Safety Zone for Lake 3, NY?"
 
 
 def test_question_set(spark):
