@@ -24,25 +24,30 @@ DIGITS = 6
 
 @dataclass
 class Index:
-    """An inverted index: ``postings (term, chunk_id, tf, len)``, ``terms (term, df)``, ``chunks``, and two numbers."""
+    """Chunks' terms, written once: ``lists (chunk_id, doc_id, position, len, t)``, the chunks, and two numbers.
+
+    A batch of queries reads the lists, drops the terms it does not ask for, and counts the rest; so only postings of asked terms are ever shuffled.
+    """
 
     chunks: DataFrame
-    postings: DataFrame
-    terms: DataFrame
+    lists: DataFrame
     count: int
     average: float
 
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """``(term, chunk_id, doc_id, position, len, tf)``, of ``terms (term)`` if given."""
+        each = self.lists.select("chunk_id", "doc_id", "position", "len", F.explode("t").alias("term"))
+        if terms is not None:
+            each = each.join(small(terms), "term", "left_semi")
+        return each.groupBy("term", "chunk_id", "doc_id", "position", "len").agg(F.count("*").alias("tf"))
+
 
-def index(chunks: DataFrame, keep: bool = True) -> Index:
-    """Term counts combine before their shuffle; chunks without a term count in the average length."""
+def index(chunks: DataFrame) -> Index:
+    """Chunks are cut and read for terms once; those without a term count in the average length."""
     held = chunks.select("chunk_id", "doc_id", "position", tokens("text").alias("t"))
-    each = held.select("chunk_id", "doc_id", "position", F.size("t").alias("len"), F.explode("t").alias("term"))
-    postings = each.groupBy("term", "chunk_id", "doc_id", "position", "len").agg(F.count("*").alias("tf"))
-    if keep:
-        postings = materialise(postings, "postings")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, average = held.agg(F.count("*"), F.avg(F.size("t"))).first()
-    return Index(chunks, postings, terms, n, average or 0.0)
+    lists = materialise(held.select("chunk_id", "doc_id", "position", F.size("t").alias("len"), "t"), "lists", "lz4")
+    n, average = lists.agg(F.count("*"), F.avg("len")).first()
+    return Index(chunks, lists, n, average or 0.0)
 
 
 def capped(hits: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
@@ -58,7 +63,9 @@ def capped(hits: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
 
 def _term_scores(idx: Index, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    found = idx.postings.join(small(asked), "term").join(idx.terms, "term")
+    held = materialise(idx.postings(asked.select("term").distinct()), "postings")
+    terms = held.groupBy("term").agg(F.count("*").alias("df"))
+    found = held.join(small(asked), "term").join(terms, "term")
     norm = 1 - B + B * (F.col("len") / F.lit(idx.average or 1.0))
     idf = F.log(1 + (F.lit(float(idx.count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return found.select("query_id", "term", "chunk_id", "doc_id", "position", "tf", "df", "len", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)).alias("part"))
@@ -107,15 +114,25 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, per_doc: int = PER
                 if not len(ids) or not len(pdf):
                     continue
                 got = np.round(np.stack(pdf.embedding.to_numpy()).astype(np.float64) @ q.T, digits)
-                order = pdf.assign(_i=np.arange(len(pdf))).sort_values(["doc_id", "position"], kind="stable")._i.to_numpy()
-                for j, name in enumerate(ids):
-                    ranked = order[np.argsort(-got[order, j], kind="stable")]
-                    if per_doc:
-                        nth = pd.Series(pdf.doc_id.to_numpy()[ranked]).groupby(pdf.doc_id.to_numpy()[ranked]).cumcount().to_numpy()
-                        ranked = ranked[nth < per_doc]
-                    ranked = ranked[:k]
-                    part = pdf.iloc[ranked][["chunk_id", "doc_id", "position"]]
-                    yield part.assign(query_id=name, score=got[ranked, j])[["query_id", "chunk_id", "doc_id", "position", "score"]]
+                # rows in the order that breaks ties, so that a stable sort by score ranks them
+                order = np.lexsort((pdf.position.to_numpy(), pdf.doc_id.to_numpy()))
+                got, doc = got[order], pd.factorize(pdf.doc_id.to_numpy()[order])[0]
+                ranked = np.argsort(-got, axis=0, kind="stable")  # a column for each query
+                if per_doc:
+                    # the place of each row among its document's: equal documents side by side, in rank order
+                    side = np.argsort(doc[ranked], axis=0, kind="stable")
+                    near = np.take_along_axis(doc[ranked], side, 0)
+                    at = np.arange(len(near))[:, None]
+                    first = np.maximum.accumulate(np.where(np.vstack([np.ones((1, near.shape[1]), bool), near[1:] != near[:-1]]), at, 0), axis=0)
+                    nth = np.empty_like(side)
+                    np.put_along_axis(nth, side, at - first, 0)
+                    ok = nth < per_doc
+                else:
+                    ok = np.ones(ranked.shape, bool)
+                rows, asks = np.nonzero(ok & (np.cumsum(ok, axis=0) <= k))
+                chosen = ranked[rows, asks]
+                part = pdf.iloc[order[chosen]][["chunk_id", "doc_id", "position"]]
+                yield part.assign(query_id=[ids[j] for j in asks], score=got[chosen, asks])[["query_id", "chunk_id", "doc_id", "position", "score"]]
 
         kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
         qkind = queries.schema["query_id"].dataType.simpleString()

@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows under which a side counts as small enough to send to every executor.
+#: Rows and bytes up to which a side counts as small enough to send to every executor.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
+_written: list[DataFrame] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local one, but only if Spark runs in this process; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that every executor sees")
         at = f"file://{tempfile.gettempdir()}/lexiquarry-scratch"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,6 +37,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _written.append(out)
     return out
 
 
@@ -45,12 +50,23 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it holds at most ``rows`` rows, else as it is, for a shuffled join.
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that :func:`materialise` wrote in this process; call it when no result that rests on one is still to be read."""
+    while _written:
+        df = _written.pop()
+        if df.sparkSession is spark:
+            discard(df)
 
-    ``df`` is counted up to the bound, so pass a materialised or cheap frame.
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``rows`` rows and ``size`` bytes, else as it is, for a shuffled join.
+
+    ``df`` is read up to the bound on rows, so pass a materialised or cheap frame.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, k in df.dtypes if k == "string" or k == "binary" or k.startswith(("array", "map", "struct"))]
+    each = sum(wide, F.lit(8 * len(df.columns)))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def free_shuffles(spark: SparkSession) -> None:
