@@ -142,8 +142,6 @@ def covered(n: int, start: np.ndarray, mask: np.ndarray, window: int) -> np.ndar
 # ---------------------------------------------------------------- units
 
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[list(b" \t\n\v\f\r")] = True
 
 
 def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +149,12 @@ def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, and the number of words of each text."""
-    out, lens = [], []
-    for at in range(0, len(texts), 64):
-        some = texts[at : at + 64]
-        blob = np.frombuffer(b" ".join(some) + b" ", np.uint8)
-        space = _SEPARATOR[blob]
-        word = ~space
-        start = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
-        end = np.flatnonzero(space & np.concatenate([[False], word[:-1]]))
-        out.append(Rolling(_TABLE[blob], 0).of(start, end))
-        ends = np.cumsum([len(t) + 1 for t in some])
-        lens.append(np.diff(np.searchsorted(start, np.concatenate([[0], ends]))))
-    return (np.concatenate(out), np.concatenate(lens)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """The XXH3 of every word, and the number of words of each text. (Sums of powers would make words alike that are built to be, such as Thue-Morse words.)"""
+    from xxhash import xxh3_64_intdigest
+
+    out, lens = [np.zeros(0, np.uint64)], []
+    for text in texts:
+        words = text.split()
+        lens.append(len(words))
+        out.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+    return np.concatenate(out), np.array(lens, np.int64)

@@ -48,9 +48,9 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = docs.select(F.col(id_col).cast("long").alias("doc"))
     shared = materialise(ids.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("d1"), F.lit(True).alias("shared")), "sharedids")
     if not shared.limit(1).count():
-        return rows.select("doc", F.lit(0).alias("th"), "t")
+        return rows.select("doc", F.lit(0).cast("long").alias("th"), "t")
     marked = rows.join(small(shared), F.col("doc").eqNullSafe(F.col("d1")), "left")
-    return marked.select("doc", F.when(F.col("shared"), F.hash("t")).otherwise(0).alias("th"), "t")
+    return marked.select("doc", F.when(F.col("shared"), F.xxhash64("t")).otherwise(0).alias("th"), "t")
 
 
 def triggers(rows: DataFrame, kind: Kind) -> DataFrame:
@@ -67,7 +67,7 @@ def triggers(rows: DataFrame, kind: Kind) -> DataFrame:
 
 def phrases(rows: DataFrame, kind: Kind) -> DataFrame:
     """``(key, doc, th, start, count, digest)`` of every run of windows."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("count", pa.int32()), ("digest", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("digest", pa.int64())])
 
     def run(source):
         for batch in batches(source):
@@ -75,7 +75,7 @@ def phrases(rows: DataFrame, kind: Kind) -> DataFrame:
             at = pa.array(got.doc)
             yield record(schema, got.key.view(np.int64), batch.column(0).take(at), batch.column(1).take(at), got.start.astype(np.int32), got.count.astype(np.int32), got.digest.view(np.int64))
 
-    return rows.select("doc", "th", "t").mapInArrow(run, "key long, doc long, th int, start int, count int, digest long")
+    return rows.select("doc", "th", "t").mapInArrow(run, "key long, doc long, th long, start int, count int, digest long")
 
 
 def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> DataFrame:

@@ -1,100 +1,170 @@
 """Exact top-k inner products through an impact-ordered, score-at-a-time index.
 
-Vectors become whole numbers. An index block holds its members' components as postings, cut into segments by quantised impact
-(the size of a component). A block of queries reads the segments in descending impact, adding each to its accumulators. What is unread can
-change a score by at most the query's length times the length of a member's unread part. Reading stops only once that bound proves that
-few members can still be among a query's k best; those are scored again exactly.
+Vectors become whole numbers. Members are indexed once, in blocks, where they lie: a block's postings (dimension, member, component) are cut into
+segments by quantised impact, the size of a component, and written in descending order. Queries, a stated set, go out in blocks of bounded bytes. Each
+reads the segments from the highest impact down and adds their postings to its scores. What is unread can change a score by at most the
+query's length times the length of a member's unread part. Reading stops only once that proves that few members can still be among
+a query's k best; those are scored again exactly, in whole numbers of any size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import table
+from lexiquarry.llm.common import record, table
+from lexiquarry.session import materialise
 
 K = 5
 LEVELS = 8
-MEMBERS = 8192  # of an index block, about
-QUERIES_EACH = 1024  # of a query block, about
+MEMBERS = 8192  # of an index block at most
+QUERY_BYTES = 32 << 20  # of queries sent to every executor at once
+QUERIES_EACH = 128  # scored together
+_BLOCK = "ids binary, width int, forward binary, ends binary, dims binary, members binary, values binary"
 
 
-def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, members: np.ndarray, k: int = K, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best members of each query, ties to the smaller id; members that share the query's id take no part."""
+def index_block(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> tuple:
+    """A block's columns: ids and vectors of the members, in order of id, and the postings of all segments with where each segment ends."""
     order = np.argsort(ids, kind="stable")
-    ids, members = ids[order], members[order]
-    size = np.abs(members)
-    step = max(1.0, np.ceil((size.max(initial=0) + 1) / levels))
-    level = (size // step).astype(np.int64)
-    acc = np.zeros((len(queries), len(members)))
-    unread = (members**2).sum(1)
-    lengths = np.sqrt((queries**2).sum(1))
-    own = q_ids[:, None] == ids[None, :]
-    possible = ~own
-    for at in range(int(level.max(initial=0)), -1, -1):
-        segment = np.where(level == at, members, 0.0)
-        acc += queries @ segment.T
-        unread = np.maximum(0.0, unread - (segment**2).sum(1))
-        bound = lengths[:, None] * np.sqrt(unread)[None, :] * (1 + 1e-12) + 1e-6
-        low = np.where(own, -np.inf, acc - bound)
-        if len(members) > k:
-            best = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k]
-            possible = ~own & (acc + bound >= best)
-        if not at or possible.sum() <= 8 * k * len(queries):
+    ids, vectors = ids[order], vectors[order]
+    size = np.abs(vectors)
+    top = size.max(initial=0)
+    level = np.minimum(levels - 1, np.floor(size / (top / levels))) if top > 0 else np.zeros(size.shape)
+    member, dim = np.nonzero(size)
+    rank = np.lexsort((member, dim, -level[member, dim]))  # impact first, then dimension
+    member, dim = member[rank], dim[rank]
+    ends = np.searchsorted(-level[member, dim], -np.arange(levels - 1, -1, -1), "right")
+    return ids.astype("<i8").tobytes(), vectors.shape[1], vectors.astype("<f8").tobytes(), ends.astype("<i8").tobytes(), dim.astype("<u4").tobytes(), member.astype("<u4").tobytes(), vectors[member, dim].astype("<f8").tobytes()
+
+
+def search_block(q_ids: np.ndarray, queries: np.ndarray, block: tuple, k: int = K) -> list[tuple[int, int, int]]:
+    """``(query, member, score)`` of the k best members of each query, ties to the smaller id; members that share the query's id take no part."""
+    ids, width, forward, ends, dims, members, values = block
+    ids, ends = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
+    dims, members, values = np.frombuffer(dims, "<u4"), np.frombuffer(members, "<u4"), np.frombuffer(values, "<f8")
+    vectors = np.frombuffer(forward, "<f8").reshape(len(ids), width)
+    if queries.shape[1] < width:
+        queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+    exact_queries = queries
+    # components whose squares would leave a double's range are brought down by a power of two; this moves no rank
+    down = [int(np.frexp(x)[1]) if x > 1e100 else 0 for x in (np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0))]
+    light, queries, values = np.ldexp(vectors, -down[0]), np.ldexp(queries, -down[1]), np.ldexp(values, -down[0])
+    scores = np.zeros((len(ids), len(queries)))
+    unread = (light**2).sum(1)
+    whole, lengths = np.sqrt(unread), np.sqrt((queries**2).sum(1))
+    slack = 1e-12 * whole[:, None] * lengths[None, :] + 1e-9  # over what rounding can add up to
+    own = ids[:, None] == q_ids[None, :]
+    possible, start = ~own, 0
+    for end in ends.tolist():
+        some = dims[start:end]
+        cuts = [0, *(np.flatnonzero(np.diff(some)) + 1).tolist(), len(some)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                at = slice(start + a, start + b)
+                scores[members[at]] += values[at, None] * queries[:, some[a]]
+        np.subtract.at(unread, members[start:end], values[start:end] ** 2)
+        start = end
+        left = np.sqrt(np.maximum(0.0, unread) + 1e-12 * whole**2)
+        bound = left[:, None] * lengths[None, :] * (end < len(dims)) + slack
+        if len(ids) > k:
+            low = np.where(own, -np.inf, scores - bound)
+            best = -np.partition(-low, k - 1, axis=0)[k - 1]
+            possible = ~own & (scores + bound >= best)
+        if possible.sum() <= 8 * k * len(queries):
             break
-    out_q, out_id, out_s = [], [], []
-    for row in range(len(queries)):
-        some = np.flatnonzero(possible[row])
-        exact = members[some] @ queries[row]
-        top = some_order(exact, k)
-        out_q.append(np.full(len(top), q_ids[row]))
-        out_id.append(ids[some[top]])
-        out_s.append(exact[top])
-    if not out_q:
-        return q_ids[:0], ids[:0], np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
-
-
-def some_order(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest scores; earlier places (smaller ids) first among equals."""
-    return np.argsort(-scores, kind="stable")[:k]
+    out = []
+    for j in range(len(queries)):
+        some = np.flatnonzero(possible[:, j])
+        if not any(down) and whole[some].max(initial=0) * lengths[j] < 2.0**52:
+            exact = (vectors[some] @ queries[j, :width]).astype(np.int64).tolist()
+        else:
+            asked = list(map(int, exact_queries[j, :width].tolist()))
+            exact = [sum(map(int.__mul__, asked, map(int, v))) for v in vectors[some].tolist()]
+        best = sorted(zip(exact, ids[some].tolist()), key=lambda x: (-x[0], x[1]))[:k]
+        out += [(int(q_ids[j]), i, s) for s, i in best]
+    return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows, shorter ones filled with zeros."""
+    lens = column.value_lengths().to_numpy().astype(np.int64)
+    out = np.zeros((len(lens), width))
+    out[np.arange(width) < lens[:, None]] = column.flatten().to_numpy()
+    return out
 
 
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = 256.0) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` holds, its k best other rows.
 
     Rows with a null id or vector, or a null or non-finite component, take no part. Shorter vectors are padded with zeros. Rows that
-    repeat an id are all candidates of other rows; none is a candidate of its own id. No rows give no rows. Components up to
-    2**26 / sqrt(length) keep every product sum below 2**53 and so exact; a larger one is an error.
+    repeat an id are all candidates of other rows; none is a candidate of its own id. Ties go to the smaller id. No rows give no rows; other columns
+    are ignored. Components may be of any finite size: ranks come from exact scores, and a score beyond 64 bits is given as the nearest 64-bit number.
 
-    Both sides are dealt into blocks whose number follows the counts, and each pair of a query block and an index block is one group, so
-    groups stay the same size at any scale.
+    Members are read and indexed where they lie and never shuffled; what is shuffled is k rows for each query and index block. The queries
+    reach the driver and the executors ``QUERY_BYTES`` at a time.
     """
+    spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    n, n_q = rows.agg(F.count("*"), F.count_if("q")).first()
-    across, down = max(1, -(-n // MEMBERS)), max(1, -(-n_q // QUERIES_EACH))
-    place = F.xxhash64("id", "v")
-    members = rows.select("id", "v", F.lit(False).alias("q"), F.pmod(place, F.lit(across)).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("y"))
-    asked = rows.where("q").select("id", "v", F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("x"), F.pmod(F.shiftright(place, 20), F.lit(down)).alias("y"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, group.v))
-        flat = np.zeros((len(group), width))
-        for i, v in enumerate(group.v):
-            flat[i, : len(v)] = v
-        if np.abs(flat).max(initial=0) ** 2 * max(1, width) >= 2.0**53:
-            raise ValueError("components are too large for exact sums")
-        asks = group.q.to_numpy(bool)
-        ids = group.id.to_numpy()
-        a, b, s = search_block(ids[asks], flat[asks], ids[~asks], flat[~asks], k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s.astype(np.int64)})
-
-    found = members.unionByName(asked).groupBy("x", "y").applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    schema = pa.schema([("ids", pa.binary()), ("width", pa.int32()), ("forward", pa.binary()), ("ends", pa.binary()), ("dims", pa.binary()), ("members", pa.binary()), ("values", pa.binary())])
+    whole = lambda m: np.floor(m.astype(np.float64) * scale)  # noqa: E731  not Spark's floor, which ends at 64 bits
+
+    def build(source):
+        held, n = [], 0
+
+        def flush():
+            widest = max(m.shape[1] for _, m in held)
+            matrix = np.concatenate([np.pad(m, ((0, 0), (0, widest - m.shape[1]))) for _, m in held])
+            got = index_block(np.concatenate([i for i, _ in held]), matrix)
+            return record(schema, *[[x] for x in got])
+
+        for batch in source:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column(1)
+                held.append((part.column(0).to_numpy(), whole(_matrix(lists, int(lists.value_lengths().to_numpy().max(initial=0))))))
+                n += part.num_rows
+                if n >= MEMBERS:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    blocks = materialise(rows.select("id", "v").mapInArrow(build, _BLOCK), "impacts", "lz4")
+    asked = materialise(rows.where("q").select("id", "v"), "asked")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    parts = max(1, -(-n * max(1, width) * 8 // QUERY_BYTES))
+    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("exact", pa.string())])
+    found = None
+    for p in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(parts)) == p).collect()
+        matrix = np.zeros((len(some), width))
+        for i, r in enumerate(some):
+            matrix[i, : len(r.v)] = whole(np.array(r.v, np.float64))
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in some], np.int64), matrix))
+
+        def run(source, shared=shared):
+            ids, queries = shared.value
+            low, high = -(1 << 63), (1 << 63) - 1
+            for batch in source:
+                for r in batch.to_pylist():
+                    block = tuple(r.values())
+                    for at in range(0, len(ids), QUERIES_EACH):
+                        got = search_block(ids[at : at + QUERIES_EACH], queries[at : at + QUERIES_EACH], block, k)
+                        if got:
+                            a, b, s = zip(*got)
+                            yield record(result, list(a), list(b), [min(max(x, low), high) for x in s], [None if low <= x <= high else str(x) for x in s])
+
+        part = blocks.mapInArrow(run, "query_id long, vec_id long, score long, exact string")
+        found = part if found is None else found.unionByName(part)
+    # scores beyond 64 bits are put in order by sign, length and digits
+    long = F.coalesce(F.length("exact"), F.lit(0)) * F.signum("score")
+    digits = F.when(F.col("score") > 0, F.col("exact"))
+    order = [F.desc("score"), long.desc(), digits.desc(), F.when(F.col("score") < 0, F.col("exact")).asc(), "vec_id"]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 

@@ -1,7 +1,7 @@
 """Substring dedup by word windows: count-min prefilter, exact second pass.
 
 A word window can only be repeated as often as its trigger (see :mod:`lexiquarry.llm.anchors`). Partitions count the triggers of
-their windows in sketches, ``DEPTH`` rows of 2**``CELL_BITS`` cells, of which only the cells that occur are held; adding the partitions' sketches
+their windows in sketches, ``DEPTH`` rows of a width that follows the corpus's size, of which only the cells that occur are held; adding the partitions' sketches
 cell by cell gives counts that are never below a window's own. The second pass groups exactly, by 128 bits of phrase and window hashes,
 only those windows all of whose cells count at least two. The sketch stays a table: it is joined, not broadcast.
 """
@@ -20,30 +20,37 @@ from lexiquarry.session import materialise
 WINDOW = 35
 GRAM = 18
 DEPTH = 2
-CELL_BITS = 40
 
 
-def cells(keys: np.ndarray) -> list[np.ndarray]:
+def width(rows: DataFrame) -> int:
+    """Bits of a sketch's width: at least a cell for every eight bytes of text, so that some seven cells in eight stay free (a trigger stands for about fifty bytes)."""
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return max(16, (size // 8).bit_length())
+
+
+def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     """The cell of each key in each row of the sketch (the key's low and high bits), with the row's number above it."""
-    low = np.uint64((1 << CELL_BITS) - 1)
-    return [keys & low, keys >> np.uint64(64 - CELL_BITS) | np.uint64(1 << CELL_BITS)]
+    return [keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits) | np.uint64(1 << bits)]
 
 
-def _cell(row: int):
+def _cell(row: int, bits: int):
     """:func:`cells` in Spark's arithmetic, for one row of the sketch."""
-    low = F.col("key").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-    return low if row == 0 else F.shiftrightunsigned("key", 64 - CELL_BITS).bitwiseOR(F.lit(1 << CELL_BITS))
+    return F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) if row == 0 else F.shiftrightunsigned("key", 64 - bits).bitwiseOR(F.lit(1 << bits))
 
 
-def sketch(rows: DataFrame, kind: repeats.Kind) -> DataFrame:
-    """``cell`` of all partitions' sketches added up, those that count at least two."""
+def sketch(rows: DataFrame, kind: repeats.Kind, bits: int) -> DataFrame:
+    """``cell`` of all partitions' sketches added up, those that count at least two.
+
+    A count is never below a trigger's own. With w = 2**bits cells in a row and n triggers it is over it by e n / w or more with a
+    probability of at most exp(-DEPTH); a trigger that occurs once passes for a repeated one with (n / w)**DEPTH, about.
+    """
     schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
     def run(source):
         for batch in batches(source, rows=4096, size=32 << 20):
             texts = repeats._bytes(batch.column(0))
             keys = [anchors.runs(*kind.units(texts[i : i + 256]), kind.window, kind.gram, digests=False).key for i in range(0, len(texts), 256)]
-            got, n = np.unique(np.concatenate(cells(np.concatenate(keys))), return_counts=True)
+            got, n = np.unique(np.concatenate(cells(np.concatenate(keys), bits)), return_counts=True)
             yield record(schema, got.view(np.int64), n)
 
     return rows.select("t").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell")
@@ -78,12 +85,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind:
     ids may be null or repeat; no rows give no rows; other columns are ignored.
     """
     rows = repeats.identified(docs, id_col, text_col)
-    many = materialise(sketch(rows, kind), "cells")
+    bits = width(rows)
+    many = materialise(sketch(rows, kind, bits), "cells")
 
     def repeated(found: DataFrame) -> DataFrame:
         names = found.columns
         for row in range(DEPTH):
-            found = found.withColumn("_c", _cell(row)).join(many.select(F.col("cell").alias("_m")), F.col("_c") == F.col("_m"), "left_semi").select(names)
+            found = found.withColumn("_c", _cell(row, bits)).join(many.select(F.col("cell").alias("_m")), F.col("_c") == F.col("_m"), "left_semi").select(names)
         return found
 
     gone = repeats.removals(rows, repeated, kind, by_count=True)
@@ -113,4 +121,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_windows": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_substring_windows": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+g AS MATERIALIZED (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS i, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')))) AS h FROM d WHERE len(w) >= {WINDOW}),
+hit AS (SELECT r, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)""",
+}

@@ -82,6 +82,17 @@ def test_byte_strings(docs, nothing, shard, monkeypatch):
     assert bytesdedup.dedup(nothing).count() == 0
 
 
+def test_words_built_to_collide_stay_apart(spark):
+    bit = lambda i: i.bit_count() & 1
+    for n in (1024, 2048, 4096):
+        word, other = (bytes(b"ab"[bit(i) ^ x] for i in range(n)) for x in (0, 1))
+        units, lens = anchors.word_units([word + b" " + other])
+        assert units[0] != units[1] and lens.tolist() == [2]
+    a, b = (" ".join("ab"[bit(i) ^ x] * 3 for i in range(64)) for x in (0, 1))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(34)) + " " + word.decode()), (2, " ".join(f"w{i}" for i in range(34)) + " " + other.decode())], "doc_id long, text string")
+    assert [r.n_removed for r in windows.dedup(docs).collect()] == [0, 0] and a != b
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(50):
@@ -248,6 +259,7 @@ def test_language_id_rejects_what_it_never_learned():
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "MEMBERS", 60)
     monkeypatch.setattr(topk, "QUERIES_EACH", 2)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     rows[3] = (3, rows[2][1])
@@ -256,6 +268,10 @@ def test_topk(spark, monkeypatch):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
     assert got == brute_topk(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    large = [(i, [float(x) for x in rng.normal(0, 1, 64) * 10.0 ** rng.integers(0, 7)]) for i in range(120)] + [(200, [3e300] + [0.0] * 63), (201, [4e300] + [1.0] * 63), (202, [-4e300] + [0.0] * 63)]
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    fit = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    assert got == {(a, b, c, fit(d)) for a, b, c, d in brute_topk(large)}
 
 
 def test_mixing(spark, nothing):
