@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from lexiquarry.llm import bytesdedup, decontam, fuzzylines, langid, mixing, secretscan, simhash, tokenbin, topk, windows
 
-MODULES = ("decontam", "windows", "langid", "simhash", "topk", "mixing", "fuzzylines", "secretscan", "tokenbin", "bytesdedup")
-
-
-def _all():
-    return [import_module(f"lexiquarry.llm.{m}") for m in MODULES]
+MODULES = (decontam, windows, langid, simhash, topk, mixing, fuzzylines, secretscan, tokenbin, bytesdedup)
 
 
 def queries() -> dict:
-    return {k: v for m in _all() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {k: v for m in _all() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -7,8 +7,8 @@ Items are put into classes of similar length. A window is the stretch of a class
 the class set in (an item may be glued to what stands before). Windows that share
 too few grams with a class to be within the edits (the q-gram lemma: each edit destroys at most q of them) are passed over,
 which loses nothing. The others are embedded by CGK random walks, under which edit distance becomes Hamming distance, next to the items of their
-class; a few sampled positions of an embedding are a key, and equal keys make a candidate. Walks and samples are repeated until
-the recall aimed at is met (``WALKS`` times ``TABLES`` keys of ``SYMBOLS`` positions). Candidates are verified exactly by bit-parallel dynamic programming.
+class; a few sampled positions of an embedding are a key, and equal keys make a candidate. Each class takes as many walks, of ``TABLES`` keys of ``SYMBOLS`` positions
+each, as bring ``RECALL`` of its own items back after random edits at the full rate (:func:`planned_walks`). Candidates are verified exactly by bit-parallel dynamic programming.
 
 Documents are only read, in place: nothing is shuffled. Items are sent to every executor in blocks of ``ITEM_BYTES``.
 """
@@ -24,9 +24,11 @@ from lexiquarry.llm.common import batches, record, table
 
 RATE = 0.1
 SHORTEST = 16  # bytes; shorter items are looked for as they are, between word bounds
-WALKS = 6
-TABLES = 10
+RECALL = 0.97  # aimed at for items with all the edits allowed, in each third of a class's lengths
+MOST_WALKS = 24
+TABLES = 10  # keys of each walk
 SYMBOLS = 3
+CLASSES = (3, 8)  # of lengths, under 64 bytes and from there on
 ITEM_BYTES = 16 << 20
 #: bytes that words are made of: letters, digits, and those of UTF-8 beyond ASCII
 _WORDY = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
@@ -76,7 +78,7 @@ def _grams(data: bytes, q: int) -> np.ndarray:
 class _Class:
     """Items of similar length, their grams' counts and their keys."""
 
-    def __init__(self, members: list[tuple[int, bytes]], rate: float, seed: int):
+    def __init__(self, members: list[tuple[int, bytes]], rate: float, seed: int, walks: int):
         lens = [len(x) for _, x in members]
         edits = [int(rate * n) for n in lens]
         self.members, self.edits = members, edits
@@ -91,14 +93,14 @@ class _Class:
         self.has = np.zeros((len(self.vocabulary), len(members)), bool)
         for m, s in enumerate(self.sets):
             self.has[np.searchsorted(self.vocabulary, np.fromiter(s, np.uint64, len(s))), m] = True
-        rng = np.random.default_rng(seed + self.size)
-        self.steps = 2 * self.size
-        self.moves = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int8)
-        self.places = np.stack([np.stack([rng.choice(self.steps, SYMBOLS, replace=False) for _ in range(TABLES)]) for _ in range(WALKS)])
-        self.weights = rng.integers(1, 1 << 62, (SYMBOLS,), dtype=np.uint64) | np.uint64(1)
+        self.walks, self.steps = walks, 2 * self.size
+        draws = [np.random.default_rng((seed, self.size, walk)) for walk in range(walks)]
+        self.moves = [rng.integers(0, 2, (self.steps, 256), dtype=np.int8) for rng in draws]
+        self.places = [np.stack([rng.choice(self.steps, SYMBOLS, replace=False) for _ in range(TABLES)]) for rng in draws]
+        self.weights = np.random.default_rng(seed).integers(1, 1 << 62, (SYMBOLS,), dtype=np.uint64) | np.uint64(1)
         joined, starts = b"".join(x for _, x in members), np.cumsum([0, *lens[:-1]])
         self.tables = []
-        for walk in range(WALKS):
+        for walk in range(walks):
             for keys in self.keys(np.frombuffer(joined, np.uint8), starts, walk):
                 order = np.argsort(keys, kind="stable")
                 self.tables.append((keys[order], order))
@@ -116,13 +118,13 @@ class _Class:
             symbol = np.where(at < end, data[np.minimum(at, len(data) - 1)], 0)
             if step in wanted:
                 seen[step] = symbol.astype(np.uint64) + np.uint64(1)
-            at += self.moves[walk, step][symbol]
+            at += self.moves[walk][step][symbol]
         return [sum(seen[int(p)] * w for p, w in zip(some, self.weights)) * _ODD for some in self.places[walk]]
 
     def candidates(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows (window, member) whose keys agree in some table."""
         found = []
-        for t in range(WALKS * TABLES):
+        for t in range(self.walks * TABLES):
             if t % TABLES == 0:
                 keys = self.keys(data, starts, t // TABLES)
             mine, (sorted_keys, order) = keys[t % TABLES], self.tables[t]
@@ -134,34 +136,70 @@ class _Class:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def _edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
+    """``item`` after random edits: bytes replaced, put in and left out alike."""
+    out = bytearray(item)
+    for _ in range(edits):
+        at, kind, byte = int(rng.integers(len(out))), int(rng.integers(3)), item[int(rng.integers(len(item)))]
+        if kind == 0:
+            out[at] = byte
+        elif kind == 1:
+            out.insert(at, byte)
+        elif len(out) > 1:
+            del out[at]
+    return bytes(out)
+
+
+def planned_walks(members: list[tuple[int, bytes]], rate: float, seed: int, recall: float = RECALL, copies: int = 240) -> int:
+    """The least number of walks, ``MOST_WALKS`` at most, under which ``recall`` of edited items share a key with their own, in each third of the class's lengths."""
+    rng = np.random.default_rng(seed)
+    by_size = sorted((x for _, x in members), key=len)
+    some = [by_size[int(i * len(by_size) / copies)] for i in range(copies)]
+    trial = _Class([(0, by_size[0])], rate, seed, MOST_WALKS)
+    # what follows an item in a text follows the copy here
+    data = [x + by_size[-1] for x in some] + [_edited(x, int(rate * len(x)), rng) + by_size[-1] for x in some]
+    starts = np.cumsum([0, *[len(x) for x in data[:-1]]])
+    met = np.zeros(copies, bool)
+    for walk in range(MOST_WALKS):
+        for keys in trial.keys(np.frombuffer(b"".join(data), np.uint8), starts, walk):
+            met |= keys[:copies] == keys[copies:]
+        if min(part.mean() for part in np.array_split(met, 3)) >= recall:
+            return walk + 1
+    return MOST_WALKS
+
+
 class Index:
-    """Items of one block, ready to be looked for."""
+    """Items of one block, ready to be looked for. ``walks``: what :attr:`walks` of an equal index holds, which spares planning again."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, seed: int = 5, walks: list[int] | None = None):
         rows = sorted((len(b), i, b) for i, b in ((i, normalise(t)) for i, t in items) if len(b) >= SHORTEST)
         self.short: dict[int, dict[bytes, list[int]]] = {}  # by length
         for i, t in items:
             if 0 < len(b := normalise(t)) < SHORTEST:
                 self.short.setdefault(len(b), {}).setdefault(b, []).append(i)
         self.classes: list[_Class] = []
+        self.walks: list[int] = []
         for short in (True, False):
             some = [r for r in rows if (r[0] < 64) == short]
-            cuts = 2 if short else 6
+            cuts = CLASSES[0 if short else 1]
             if some:
-                ratio = (some[-1][0] + 1) / some[0][0]
+                # no class is narrower than a tenth of its length, which the edits allowed blur anyway
+                ratio = max((some[-1][0] + 1) / some[0][0], 1.1**cuts)
                 groups: dict[int, list] = {}
                 for n, i, b in some:
-                    groups.setdefault(int(cuts * np.log(n / some[0][0]) / np.log(ratio)) if ratio > 1 else 0, []).append((i, b))
-                self.classes += [_Class(g, rate, seed) for g in groups.values()]
+                    groups.setdefault(int(cuts * np.log(n / some[0][0]) / np.log(ratio)), []).append((i, b))
+                for g in groups.values():
+                    self.walks.append(walks[len(self.walks)] if walks else planned_walks(g, rate, seed))
+                    self.classes.append(_Class(g, rate, seed, self.walks[-1]))
         self.marks = {}
         for q in {c.q for c in self.classes}:
             grams = sum(len(s) for c in self.classes if c.q == q for s in c.sets)
             bits = min(26, max(20, (64 * grams).bit_length()))
-            mark = np.zeros(1 << bits, np.uint8)
+            mark = np.zeros(1 << bits, np.uint16)
             for b, c in enumerate(self.classes):
                 if c.q == q:
                     for s in c.sets:
-                        mark[self._slot(np.fromiter(s, np.uint64, len(s)), bits)] |= np.uint8(1 << b)
+                        mark[self._slot(np.fromiter(s, np.uint64, len(s)), bits)] |= np.uint16(1 << b)
             self.marks[q] = (mark, bits)
 
     @staticmethod
@@ -250,10 +288,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     out = None
     for block in _blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast((block, Index(block, rate).walks))
 
         def run(source, shared=shared):
-            index = Index(shared.value, rate)
+            items, walks = shared.value
+            index = Index(items, rate, walks=walks)
             for batch in batches(source):
                 ids = batch.column(0).to_pylist()
                 found = index.find(batch.column(1).to_pylist())
@@ -278,10 +317,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """The rows of ``docs`` that hold no item, all columns unchanged."""
     at = docs.columns.index(text_col)
     for block in _blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast((block, Index(block, rate).walks))
 
         def run(source, shared=shared):
-            index = Index(shared.value, rate)
+            items, walks = shared.value
+            index = Index(items, rate, walks=walks)
             for batch in batches(source):
                 bad = {d for d, _, _ in index.find(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)]))

@@ -123,10 +123,12 @@ def _held_out(id_col):
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rows outside the held-out fold, those whose ids hash lowest (texts up to ``SAMPLE_CHARS``, so what the driver gets is bounded)."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """A model from a bounded sample: at most ``sample`` labelled rows outside the held-out fold, those whose ids hash lowest, with texts of at most ``sample_chars``
+    characters (both bound what the driver gets; prediction reads whole texts of any length). Rows that tie are taken in text order; no labelled rows give a model that answers ``und``.
+    """
     i = F.col(id_col)
-    rows = docs.where(~F.coalesce(_held_out(i), F.lit(False)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    rows = docs.where(~F.coalesce(_held_out(i), F.lit(False)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
     # a share of the hashes' range that holds a little over the sample: the driver gets those rows and no others
     n, h = rows.count(), F.xxhash64(i.cast("string"))
     cut = -(1 << 63) + int((1 << 64) * min(1.0, 1.2 * sample / max(1, n))) - 1
@@ -136,7 +138,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, rejected)`` for every row."""
+    """``(doc_id, lang_pred, score, rejected)`` for every row, from its whole text and nothing else.
+
+    Null texts and texts without a letter are ``und``, score 0, rejected, and so is everything under a model without labels. Equal texts get equal rows; ids may be
+    null or repeat; languages that tie go to the lesser name; no rows give no rows; other columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte: buckets times languages
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
@@ -150,7 +156,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, all columns unchanged."""
+    """The rows of ``docs`` that the model does not reject, all columns unchanged, whatever their names; null and letterless texts go. No rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -142,7 +142,10 @@ def _keys(fp, cuts: list[tuple[int, int]], agree: int):
 
 
 def links(classes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links ``(a, b)`` that connect every two distinct ``fp`` values within ``radius`` bits, through few rows."""
+    """Links ``(a, b)`` that connect every two of ``n`` distinct ``fp`` values within ``radius`` bits, through few rows: those of one group in a shard name its least member.
+
+    ``classes`` holds each fingerprint once and no null; one fingerprint, or none, gives no links.
+    """
     parts = radius + 1
     while parts < 4 * (radius + 1) and n / 2 ** (64 * (parts - radius) / parts) > SHARD and comb(parts + 1, radius) <= 1000:
         parts += 1

@@ -365,6 +365,31 @@ def test_decontamination(spark, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_recall_at_the_full_rate_by_length():
+    """Items with all the edits that the rate allows, in bands of length; each band reaches 0.95."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    items = []
+    for i in range(200):
+        size, text = int(17 * (300 / 17) ** rng.random()), word()
+        while len(text) < size:
+            text += " " + word()
+        items.append((i, text))
+    index, found = decontam.Index(items), collections.defaultdict(list)
+    assert all(1 <= w <= decontam.MOST_WALKS for w in index.walks) and decontam.Index(items, walks=index.walks).walks == index.walks
+    for i, item in items:
+        most = int(decontam.RATE * len(item))
+        for _ in range(3):
+            out = list(item)
+            for _ in range(most):
+                k, kind = rng.randrange(len(out)), rng.randrange(3)
+                out[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("abcdefgh")]
+            text = " ".join(word() for _ in range(15)) + " " + "".join(out) + " " + " ".join(word() for _ in range(15))
+            if decontam.fuzzy_find(item.encode(), decontam.normalise(text))[0] <= most:
+                found[sum(len(item) >= x for x in (32, 64, 128, 220))].append(any(x == i for _, x, _ in index.find([text])))
+    assert len(found) == 5 and all(len(v) > 60 and sum(v) >= 0.95 * len(v) for v in found.values()), {k: sum(v) / len(v) for k, v in found.items()}
+
+
 def test_short_items_are_found_at_word_bounds():
     index = decontam.Index([(1, "Tiny"), (2, "a  b"), (3, ""), (4, "tiny"), (5, "a long item of many bytes")])
     got = index.find(["destiny", "a TINY, thing", None, "x a b", "a bc", "tiny", "here a long item of many bytes"])
