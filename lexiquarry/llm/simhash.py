@@ -16,6 +16,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,30 +199,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(member, prints.fp == member.of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with its columns renamed and ``(f, r)``, which names a row: its file and its number there, or, if ``docs`` is not read straight from files, a number in a copy."""
+    renamed = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)]
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*renamed, F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+        except AnalysisException:
+            pass
+    return materialise(docs.select(*renamed, F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")), "placed")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of near-duplicates, all columns unchanged: the row of the smallest id.
 
     Rows count, not ids: different texts of one id are judged apart, copies under one id or without an id leave one row, and a row
     without an id stays only if its group has no row with one. Among rows of the smallest id the least fingerprint, then text hash, stays; of rows equal in
     all that, any one. Null and wordless texts are one group (fingerprint zero). Columns may have any names. No rows give no rows.
+
+    Texts are shuffled once, by the rows' own places, so no key is hot; what stays is joined and never broadcast, since it grows with the corpus.
     """
     free_shuffles(docs.sparkSession)
     columns = [f"c{k}" for k in range(len(docs.columns))]
     at = dict(zip(docs.columns, columns))
-    rows = materialise(docs.toDF(*columns).withColumn("tag", F.monotonically_increasing_id()), "tagged")
-    schema = pa.schema([("tag", pa.int64()), ("i", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+    rows = _placed(docs, columns)
+    names = ("f", "r", "i", "h", "fp")
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(source):
         for batch in batches(source):
-            got = np.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
-            yield record(schema, batch.column(0), batch.column(1), batch.column(2), got)
+            got = np.array([fingerprint(t, shingle) for t in batch.column(4).to_pylist()], np.uint64).view(np.int64)
+            yield record(schema, *batch.columns[:4], got)
 
     text = F.col(at[text_col]).cast("string")
-    prints = rows.select("tag", F.col(at[id_col]).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, "tag long, i long, h long, fp long")
-    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull().alias("nameless"), "i", "fp", "h", "tag")).alias("low"))
+    prints = rows.select("f", "r", F.col(at[id_col]).cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("i").isNull().alias("nameless"), "i", "fp", "h", "f", "r")).alias("low"))
     named = _rooted(materialise(classes, "classes"), radius)
-    kept = materialise(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.tag").alias("tag")), "kept")
-    return rows.join(kept, "tag", "left_semi").select(columns).toDF(*docs.columns)
+    kept = materialise(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.f").alias("f"), F.col("low.r").alias("r")), "kept")
+    return rows.join(kept.hint("merge"), ["f", "r"], "left_semi").select(columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

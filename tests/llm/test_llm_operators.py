@@ -142,10 +142,14 @@ def test_simhash(docs, nothing, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_one_row_of_each_group_stays(spark, nothing):
+@pytest.mark.parametrize("files", [False, True])
+def test_one_row_of_each_group_stays(spark, nothing, files, tmp_path):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c), (9, b), (9, b), (2, None), (5, ""), (None, None), (11, "x " * 50_000), (12, "x " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(4) for k in ("kept", "tag", "_first", "low", "fp", "c0")})
+    if files:
+        docs.repartition(3).write.parquet(f"file://{tmp_path}/docs")
+        docs = spark.read.parquet(f"file://{tmp_path}/docs")
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, (r.text or "")[:2], r.kept, r.tag) for r in got.collect()) == [(0, "c0", 4, 4), (2, "", 4, 4), (3, "a0", 4, 4), (7, "b0", 4, 4), (11, "x ", 4, 4)]
