@@ -66,16 +66,16 @@ def triggers(rows: DataFrame, kind: Kind) -> DataFrame:
 
 
 def phrases(rows: DataFrame, kind: Kind) -> DataFrame:
-    """``(key, doc, th, start, count, digest)`` of every run of windows."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("digest", pa.int64())])
+    """``(key, digest, at, doc, th)`` of every run of windows, where ``at`` is 128 * start + count: one number, beside what varies as much, shuffles in fewer bytes."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("th", pa.int64())])
 
     def run(source):
         for batch in batches(source):
             got = anchors.runs(*kind.units(_bytes(batch.column(2))), kind.window, kind.gram)
-            at = pa.array(got.doc)
-            yield record(schema, got.key.view(np.int64), batch.column(0).take(at), batch.column(1).take(at), got.start.astype(np.int32), got.count.astype(np.int32), got.digest.view(np.int64))
+            owner = pa.array(got.doc)
+            yield record(schema, got.key.view(np.int64), got.digest.view(np.int64), got.start.astype(np.int64) * 128 + got.count.astype(np.int64), batch.column(0).take(owner), batch.column(1).take(owner))
 
-    return rows.select("doc", "th", "t").mapInArrow(run, "key long, doc long, th long, start int, count int, digest long")
+    return rows.select("doc", "th", "t").mapInArrow(run, "key long, digest long, at long, doc long, th long")
 
 
 def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> DataFrame:
@@ -88,7 +88,7 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> D
     several = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "k")
     contested = entries.join(several, F.col("key") == F.col("k")).select("key", "digest", "lo", "n", "at", F.ceil(F.col("c") / SHARD).cast("int").alias("shards"))
     wanted = contested.groupBy("at.doc", "at.th").agg(F.collect_list(F.struct("key", "digest", "lo", "n", "at.start", "at.count", "shards")).alias("p"))
-    wanted = wanted.withColumnsRenamed({"doc": "d2", "th": "th2"})
+    wanted = materialise(wanted.withColumnsRenamed({"doc": "d2", "th": "th2"}), "wanted")
     texts = wanted.join(rows, F.col("doc").eqNullSafe(F.col("d2")) & F.col("th").eqNullSafe(F.col("th2"))).select("t", "p")
     out = pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("place", pa.int32()), ("digest", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("count", pa.int32()), ("content", pa.binary())])
 
@@ -140,9 +140,11 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, by_count: bool) -> D
 
     fetched = texts.mapInArrow(fetch, "key long, shard int, place int, digest long, lo long, n long, count int, content binary")
     flagged = fetched.repartition("key", "shard").mapInArrow(compare, "key long, digest long, mask long").groupBy("key", "digest").agg(F.bit_or("mask").alias("mask")).toDF("k", "g", "mask")
+    flagged = materialise(flagged, "flagged")  # with this, the texts and phrases that were shuffled for it go
     settled = entries.join(flagged, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("g")), "left").select("key", "digest", "lo", "n", F.coalesce("mask", F.lit(0)).alias("mask"), "hi")
     settled = materialise(settled.where(((F.col("n") > 1) if by_count else (F.col("hi") > F.col("lo"))) | (F.col("mask") != 0)).drop("hi"), "verdicts")
-    discard(entries)
+    for done in (entries, wanted, flagged):
+        discard(done)
     return settled
 
 
@@ -150,7 +152,8 @@ def removals(rows: DataFrame, repeated: Callable[[DataFrame], DataFrame], kind:
     """``(doc, th, t, starts, masks)`` for every row: where its flagged windows lie."""
     spark = rows.sparkSession
     free_shuffles(spark)
-    found = materialise(repeated(phrases(rows, kind)), "phrases")
+    places = (F.shiftright("at", 7).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(127)).cast("int").alias("count"))
+    found = materialise(repeated(phrases(rows, kind)).select("key", "doc", "th", *places, "digest"), "phrases")
     settled = verdicts(rows, found, kind, by_count).toDF("k", "g", "lo", "n", "mask")
     every = F.col("n") > 1 if by_count else F.col("doc") > F.col("lo")
     windows = F.expr("shiftleft(1L, `count`) - 1")
