@@ -477,6 +477,20 @@ def test_fuzzy_lines_against_edit_similarity(spark):
     assert {r.doc_id: r.kept for r in fuzzylines.dedup(short).collect()} == {1: b"Yes\n\nno", 2: b"\nyet"}
 
 
+def test_fuzzy_lines_of_one_language_do_not_meet(spark):
+    """Lines made of the same syllables share many grams, but not in one order: only edited copies are worth fetching."""
+    rng = random.Random(14)
+    syllables = [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s"]) for _ in range(60)]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    lines = [" ".join(word() for _ in range(rng.randint(50, 70))) for _ in range(600)]
+    rows = [(i, line, "en", "s", 1) for i, line in enumerate(lines)] + [(1000 + i, edited(rng, line, 0.1), "en", "s", 1) for i, line in enumerate(lines[:40])]
+    docs = spark.createDataFrame(rows, ROWS)
+    held = fuzzylines.occurrences(repeats.identified(docs, "doc_id", "text"))
+    assert 70 <= fuzzylines.met(held, fuzzylines.SIMILARITY).count() <= 200
+    gone = [r.doc_id for r in fuzzylines.dedup(docs).collect() if r.n_removed]
+    assert len(gone) >= 38 and all(i >= 1000 for i in gone)
+
+
 def test_queries_are_registered():
     from lexiquarry.llm import catalogue
 
