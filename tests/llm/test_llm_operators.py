@@ -496,3 +496,26 @@ def test_queries_are_registered():
 
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalogue.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_fuzzy_lines_are_verified_once():
+    """Copies that many buckets find go to the verification as one group, links of lines that are few as pairs."""
+    h = np.array([5, 3, 9, 7, 1], np.int64)
+    pair = fuzzylines.named(h, np.array([0, 0, 2, 3, 4]), np.array([0]), np.array([1])).to_pydict()
+    assert pair["h"] == [3, 5] and pair["dense"] == [False, False] and len(set(pair["gid"])) == 1
+    group = fuzzylines.named(h, np.array([0, 0, 0, 3, 4]), np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pydict()
+    assert group == {"gid": [3, 3, 3], "h": [3, 5, 9], "dense": [True] * 3}
+
+
+def test_long_fuzzy_lines_meet_in_longer_grams(spark):
+    """Lines of few syllables share bands of short grams, and rarely landmarks, which edited copies share."""
+    rng = random.Random(15)
+    syllables = ["the", "an", "er", "on", "re", "in", "th", "ed"]
+    lines = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(50)).encode() for _ in range(400)]
+    copies = [edited(rng, x.decode(), 0.1).encode() for x in lines]
+    sketch = lambda x: np.where(fuzzylines.landmarks(x)[0] > 0, fuzzylines.landmarks(x)[0], -1)
+    a, b = sketch(lines), sketch(copies)
+    assert ((a == b) & (a > 0)).any(1).mean() > 0.99
+    met = np.mean([((a[i] == a[j]) & (a[i] > 0)).any() for i in range(0, 400, 9) for j in range(i)])
+    values = fuzzylines.bands(fuzzylines.minhashes(lines)[0])
+    assert met < 0.5 * np.mean([(values[i] == values[j]).any() for i in range(0, 400, 9) for j in range(i)])
