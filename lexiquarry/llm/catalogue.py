@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bytesdedup, decontam, fuzzylines, langid, mixing, secretscan, simhash, tokenbin, topk, windows
+from lexiquarry.llm import bytebpe, bytesdedup, convrepair, decontam, fuzzylines, kdmeans, langid, mixing, secretscan, simhash, tokenbin, topk, windows
 
-MODULES = (decontam, windows, langid, simhash, topk, mixing, fuzzylines, secretscan, tokenbin, bytesdedup)
+MODULES = (decontam, windows, langid, simhash, topk, mixing, fuzzylines, secretscan, tokenbin, bytesdedup, bytebpe, convrepair, kdmeans)
 
 
 def queries() -> dict:
