@@ -18,14 +18,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiquarry.llm.common import batches as cut_batches
 from lexiquarry.llm.common import table
 
-BATCH = 4 << 20  # characters of texts whose pieces are told apart together
-TEXTS = 1 << 18  # bytes of text handed to the library at once
+BATCH = 2 << 20  # characters of texts whose pieces are told apart together
+TEXTS = 1 << 18  # bytes of text handed to the library at once, or one longer piece
+KEPT = 1 << 18  # pieces whose ids are remembered
 #: A space or line feed after anything but white space: a piece ends before it and one begins at it, whatever else the text holds.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -112,54 +113,72 @@ def _bytes(text: str) -> ByteTable:
     return ByteTable(text)
 
 
-def encode_texts(tok, lens: np.ndarray, texts: list[str]) -> list[np.ndarray]:
-    """The ids of each text by the library. Texts are cut at safe places, and of the pieces of one batch each goes to the library once, many joined to one text.
+class Pieces:
+    """Ids by the library, which sees each piece of the texts once as long as it is remembered.
 
-    A piece that begins with a cut and ends in anything but white space is tokenised among others as it is alone, so its ids are those up to its
-    last byte; ``lens`` gives each id's bytes. Other pieces, at the ends of texts, go alone. The library sees about ``TEXTS`` bytes at once, or one longer piece.
+    Texts are cut at safe places. New pieces go to the library many joined to one text: a piece that begins with a cut and ends in anything but white space is
+    tokenised among others as it is alone, so its ids are those up to its last byte, by each id's bytes (``lens``). Other pieces, at the ends of texts, go alone. At
+    most ``KEPT`` pieces are remembered, and those of one batch; then all are forgotten.
     """
-    cut = [_SAFE.split(t) for t in texts]
-    words = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
-    pieces = words.dictionary.to_pylist()
-    joined, alone = [], []
-    for i, p in enumerate(pieces):
-        (joined if p and p[0] in " \n" and not p[-1].isspace() else alone).append(i)
-    sizes = pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False)
-    found, counts = [], np.zeros(len(pieces), np.int64)
-    turn = np.concatenate([np.array(joined, np.int64), np.array(alone, np.int64)])
-    upto = np.cumsum(sizes[joined])
-    at = 0
-    while at < len(joined):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXTS, "right")))
-        ids = np.array(tok.encode_batch_fast(["".join(pieces[i] for i in joined[at:to])], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.searchsorted(np.cumsum(lens[ids]), upto[at:to] - (upto[at - 1] if at else 0), "left") + 1
-        counts[joined[at:to]] = np.diff(ends, prepend=0)
-        found.append(ids)
-        at = to
-    for step in range(0, len(alone), 256):
-        for i, e in zip(alone[step : step + 256], tok.encode_batch_fast([pieces[i] for i in alone[step : step + 256]], add_special_tokens=False)):
-            found.append(np.array(e.ids, np.int64))
-            counts[i] = len(e.ids)
-    flat = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.uint32)
-    starts = np.zeros(len(pieces), np.int64)
-    starts[turn] = np.cumsum(counts[turn]) - counts[turn]
-    mine = words.indices.to_numpy().astype(np.int64)
-    each = counts[mine]
-    ends = np.cumsum(each)
-    out = flat[np.repeat(starts[mine] - ends + each, each) + np.arange(int(each.sum()))]
-    return np.split(out, ends[np.cumsum([len(x) for x in cut])[:-1] - 1]) if texts else []
-
-
-def in_turns(tok, lens: np.ndarray, texts: Iterator[str]) -> Iterator[list[np.ndarray]]:
-    """:func:`encode_texts` over as many texts at once as make about ``BATCH`` characters."""
+
+    def __init__(self, tok, lens: np.ndarray):
+        self.tok, self.lens = tok, lens
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        joined, alone = [], []
+        for p in pieces:
+            (joined if p and p[0] in " \n" and not p[-1].isspace() else alone).append(p)
+        upto = np.cumsum(np.array([len(p.encode()) for p in joined], np.int64))
+        at = 0
+        while at < len(joined):
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + TEXTS, "right")))
+            ids = np.array(self.tok.encode_batch_fast(["".join(joined[at:to])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.lens[ids]), upto[at:to] - before, "left") + 1
+            self.ids.append(ids)
+            self.counts.append(np.diff(ends, prepend=0))
+            at = to
+        for step in range(0, len(alone), 256):
+            for e in self.tok.encode_batch_fast(alone[step : step + 256], add_special_tokens=False):
+                self.ids.append(np.array(e.ids, np.uint32))
+                self.counts.append(np.array([len(e.ids)], np.int64))
+        n = len(self.known)
+        self.known.update(zip([*joined, *alone], range(n, n + len(pieces))))
+        self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        cut = [_SAFE.split(t) for t in texts]
+        words = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        pieces = words.dictionary.to_pylist()
+        if len(self.known) > KEPT:
+            self._forget()
+        self._learn([p for p in pieces if p not in self.known])
+        counts, flat = self.counts[0], self.ids[0]
+        mine = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[words.indices.to_numpy()]
+        each, starts = counts[mine], (np.cumsum(counts) - counts)[mine]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(starts - ends + each, each) + np.arange(int(ends[-1]))]
+        return np.split(out, ends[np.cumsum([len(x) for x in cut])[:-1] - 1])
+
+
+def in_turns(encode: Pieces, texts: Iterator[str]) -> Iterator[list[np.ndarray]]:
+    """The ids of as many texts at once as make about ``BATCH`` characters."""
     held, n = [], 0
     for text in texts:
         held.append(text)
         n += len(text)
         if n >= BATCH:
-            yield encode_texts(tok, lens, held)
+            yield encode(held)
             held, n = [], 0
-    yield encode_texts(tok, lens, held)
+    yield encode(held)
 
 
 def offsets(lens: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +200,9 @@ class Codec:
 
         @F.arrow_udf("binary")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tok, lens = _loaded(shared.value), _bytes(shared.value).lens
+            encode = Pieces(_loaded(shared.value), _bytes(shared.value).lens)
             for batch in batches:
-                coded = in_turns(tok, lens, (t.as_py() or "" for t in batch))
+                coded = in_turns(encode, (t.as_py() or "" for t in batch))
                 yield pa.array((x.astype("<u4").tobytes() for some in coded for x in some), pa.binary(), size=len(batch))
 
         return encode(text)
@@ -242,10 +261,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     Null texts count as empty; empty texts have no ids and decode to nothing. Rows are read one by one: repeated rows and ids, null ids and further columns of any
     name change nothing, and there are no ties. A very long text goes to the library in parts, cut where no piece is cut. An empty table gives no rows. Nothing is shuffled.
     """
-    codec = Codec(docs.sparkSession, ranks_path, pattern)
-    coded = docs.select(F.col(id_col), codec.ids(F.col(text_col)).alias("_ids"))
-    held = coded.select(F.col(id_col), F.col("_ids").alias("ids"), codec.bytes_of(F.col("_ids")).alias("decoded"))
-    return held.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    shared = docs.sparkSession.sparkContext.broadcast(model(read_ranks(ranks_path), pattern))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(source):
+        known = _bytes(shared.value)
+        encode = Pieces(_loaded(shared.value), known.lens)
+        for batch in cut_batches(source, 1024, BATCH):
+            coded = encode([t or "" for t in batch.column(1).to_pylist()])
+            raw = [x.astype("<u4").tobytes() for x in coded]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array(raw, pa.binary()), pa.array(map(known.decode, coded), pa.binary(), size=len(coded))], [id_col, "n_tokens", "ids", "decoded"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
 
 def query(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:

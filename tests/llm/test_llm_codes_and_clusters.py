@@ -39,13 +39,16 @@ def odd_texts(n, seed=7):
     return ["".join(pick() for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
-def test_ids_are_those_of_the_other_library(plain_codec, fast):
+@pytest.mark.parametrize("kept", [bytebpe.KEPT, 10])
+def test_ids_are_those_of_the_other_library(plain_codec, fast, kept, monkeypatch):
+    monkeypatch.setattr(bytebpe, "KEPT", kept)
     tok, table = fast
     texts = odd_texts(3000) + ["", " ", "\n\n a", "word " * 50_000, "x" * 3000]
-    for text, ids in zip(texts, bytebpe.encode_texts(tok, table.lens, texts)):
+    encode = bytebpe.Pieces(tok, table.lens)
+    for text, ids in zip(texts, [x for at in range(0, len(texts), 700) for x in encode(texts[at : at + 700])]):
         assert ids.tolist() == plain_codec.encode_ordinary(text), text
         assert table.decode(ids) == text.encode()
-    assert bytebpe.encode_texts(tok, table.lens, []) == []
+    assert bytebpe.Pieces(tok, table.lens)([]) == []
 
 
 def test_character_classes_agree(fast):
@@ -66,7 +69,7 @@ def test_character_classes_agree(fast):
 def test_offsets_span_split_characters(fast):
     tok, table = fast
     for text in odd_texts(300, 3) + ["𓀀a", "naïve 中文 🤖"]:
-        ids = bytebpe.encode_texts(tok, table.lens, [text])[0]
+        ids = bytebpe.Pieces(tok, table.lens)([text])[0]
         ends, first, last = bytebpe.offsets(table.lens[ids], text.encode())
         data, at = text.encode(), 0
         for e, a, b in zip(ends.tolist(), first.tolist(), last.tolist()):
