@@ -6,50 +6,20 @@ ranked and ties go to the smaller document and position, so results do not depen
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import tokens
+from lexiquarry.operators.postings import Asked, Index, index, keep, open_index  # noqa: F401  part of this module's interface
 from lexiquarry.session import materialise, small
 
-K1 = 1.5
-B = 0.75
 PER_DOC = 2
 DEPTH = 50
+SEEDS = 4  # ranges of greatest bound that are scored before others are passed over
 RRF = 60
 DIGITS = 6
 
 
-@dataclass
-class Index:
-    """Chunks' terms, written once: ``lists (chunk_id, doc_id, position, len, t)``, the chunks, and two numbers.
-
-    A batch of queries reads the lists, drops the terms it does not ask for, and counts the rest; so only postings of asked terms are ever shuffled.
-    """
-
-    chunks: DataFrame
-    lists: DataFrame
-    count: int
-    average: float
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """``(term, chunk_id, doc_id, position, len, tf)``, of ``terms (term)`` if given."""
-        each = self.lists.select("chunk_id", "doc_id", "position", "len", F.explode("t").alias("term"))
-        if terms is not None:
-            each = each.join(small(terms), "term", "left_semi")
-        return each.groupBy("term", "chunk_id", "doc_id", "position", "len").agg(F.count("*").alias("tf"))
-
-
-def index(chunks: DataFrame) -> Index:
-    """Chunks are cut and read for terms once; those without a term count in the average length."""
-    held = chunks.select("chunk_id", "doc_id", "position", tokens("text").alias("t"))
-    lists = materialise(held.select("chunk_id", "doc_id", "position", F.size("t").alias("len"), "t"), "lists", "lz4")
-    n, average = lists.agg(F.count("*"), F.avg("len")).first()
-    return Index(chunks, lists, n, average or 0.0)
-
-
 def capped(hits: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
     """The k best of each query with at most ``per_doc`` of a document (0: any number), which is what a greedy scan of the ranking picks."""
     if k < 1:
@@ -61,35 +31,49 @@ def capped(hits: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "doc_id", "position", "score")
 
 
-def _term_scores(idx: Index, queries: DataFrame) -> DataFrame:
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    held = materialise(idx.postings(asked.select("term").distinct()), "postings")
-    terms = held.groupBy("term").agg(F.count("*").alias("df"))
-    found = held.join(small(asked), "term").join(terms, "term")
-    norm = 1 - B + B * (F.col("len") / F.lit(idx.average or 1.0))
-    idf = F.log(1 + (F.lit(float(idx.count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return found.select("query_id", "term", "chunk_id", "doc_id", "position", "tf", "df", "len", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)).alias("part"))
+def _scores(asked: Asked, ranges: DataFrame, docs: list | None) -> DataFrame:
+    parts = asked.parts(ranges)
+    parts = parts.where(F.col("doc_id").isin(docs)) if docs else parts
+    return parts.groupBy("query_id", "chunk_id", "doc_id", "position").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+
+
+def _steps(asked: Asked, k: int, per_doc: int, docs: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every range's bound with its place, the scores of the first ranges, and the further ranges that may hold one of the k best."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "range"))
+    bounds = materialise(asked.bounds().withColumn("place", place), "bounds")
+    first = materialise(_scores(asked, bounds.where(F.col("place") <= SEEDS), docs), "first")
+    reached = capped(first, k, per_doc).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    left = bounds.where(F.col("place") > SEEDS).join(small(reached), "query_id", "left")
+    # a score that only equals the k-th may still win by its document; sums differ in their last bits by their order
+    return bounds, first, materialise(left.where(F.col("least").isNull() | (F.round(F.col("most") + 1e-9, DIGITS) >= F.col("least"))).select("query_id", "range"), "ranges")
 
 
 def bm25(idx: Index, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC) -> DataFrame:
-    """Keyword search; only chunks that share a term with the query are hits."""
-    scores = _term_scores(idx, queries).groupBy("query_id", "chunk_id", "doc_id", "position").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    return capped(scores, k, per_doc)
+    """Keyword search; only chunks that share a term with the query are hits. Ranges of chunks that can't hold one of the k best are passed over."""
+    return _best(idx.ask(queries), k, per_doc)
+
+
+def _best(asked: Asked, k: int, per_doc: int, docs: list | None = None) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    _, first, further = _steps(asked, k, per_doc, docs)
+    return capped(first.unionByName(_scores(asked, further, docs)), k, per_doc)
+
+
+def ranges_read(idx: Index, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC) -> DataFrame:
+    """``(query_id, ranges, read)``: how many ranges hold a term of the query, and how many of them :func:`bm25` scores."""
+    bounds, _, further = _steps(idx.ask(queries), k, per_doc)
+    all_ = bounds.groupBy("query_id").agg(F.count("*").alias("ranges"), F.count_if(F.col("place") <= SEEDS).alias("first"))
+    return all_.join(further.groupBy("query_id").agg(F.count("*").alias("more")), "query_id", "left").select("query_id", "ranges", (F.col("first") + F.coalesce("more", F.lit(0))).alias("read"))
 
 
 def explain(idx: Index, queries: DataFrame, docs: list | None = None, top: int = 10, terms: int = 4) -> DataFrame:
-    """For each query its best documents, each with its best chunk and the terms that made its score."""
-    parts = _term_scores(idx, queries)
-    if docs:
-        parts = parts.where(F.col("doc_id").isin(docs))
-    whole = parts.groupBy("query_id", "chunk_id", "doc_id", "position", "len").agg(
-        F.round(F.sum("part"), DIGITS).alias("score"),
-        F.array_sort(F.collect_list(F.struct((-F.round("part", DIGITS)).alias("minus"), "term"))).alias("t"),
-    )
-    best = whole.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "position"))).where("_n = 1")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= top)
+    """For each query its best documents (of ``docs``, if given), each with its best chunk and the terms that made its score."""
+    asked = idx.ask(queries)
+    hits = materialise(_best(asked, top, 1, docs), "hits")
+    parts = asked.parts(hits=hits).groupBy("query_id", "chunk_id").agg(F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct((-F.round("part", DIGITS)).alias("minus"), "term"))).alias("t"))
     named = F.transform(F.slice("t", 1, terms), lambda x: x["term"])
-    return ranked.select("query_id", "rank", "doc_id", "chunk_id", "score", F.array_join(named, " ").alias("top_terms"), (F.col("len") < 0.6 * F.lit(idx.average)).alias("is_short"))
+    return hits.join(small(parts), ["query_id", "chunk_id"]).select("query_id", "rank", "doc_id", "chunk_id", "score", F.array_join(named, " ").alias("top_terms"), (F.col("len") < 0.6 * F.lit(idx.average)).alias("is_short"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC, digits: int = 5) -> DataFrame:

@@ -72,7 +72,7 @@ _BM25 = "SELECT query_id, doc_id, position, round(sum(part), 6) AS score FROM pa
 
 @query(f"WITH {chunks_sql()}, {ASKED}, {scores_sql()} {capped_sql(_BM25, 5, 2)}")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(search.index(tables.chunks(spark, sf_dir)), tables.asked(spark, sf_dir))
+    hits = search.bm25(tables.indexed(spark, sf_dir), tables.asked(spark, sf_dir))
     return hits.select("query_id", "rank", "doc_id", "position", "score")
 
 
@@ -81,7 +81,7 @@ _BEST = "SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sco
 
 @query(f"WITH {chunks_sql()}, {ASKED}, {scores_sql()} SELECT query_id, rank::INT AS rank, doc_id, score, top_terms, is_short FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, len < 0.6 * (SELECT a FROM numbers) AS is_short FROM ({_BEST}) WHERE c = 1) WHERE rank <= 10")
 def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.explain(search.index(tables.chunks(spark, sf_dir)), tables.asked(spark, sf_dir))
+    out = search.explain(tables.indexed(spark, sf_dir), tables.asked(spark, sf_dir))
     return out.select("query_id", "rank", "doc_id", "score", "top_terms", "is_short")
 
 
@@ -128,7 +128,7 @@ _RERANKED = f"SELECT h.query_id, h.doc_id, h.position, round(len(list_intersect(
 
 @query(f"WITH {chunks_sql()}, {ASKED}, {scores_sql()}, h AS ({capped_sql(_BM25, 50, 0)}) {capped_sql(_RERANKED, 5, 2)}")
 def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = search.index(tables.chunks(spark, sf_dir))
+    idx = tables.indexed(spark, sf_dir)
     return search.retriever("bm25", idx, reranked=True)(tables.asked(spark, sf_dir)).select("query_id", "rank", "doc_id", "position", "score")
 
 
@@ -136,7 +136,7 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords and stand-in embeddings over the same chunks (the stand-in has no SQL)."""
     c = tables.chunks(spark, sf_dir)
-    idx = search.index(c)
+    idx = tables.indexed(spark, sf_dir)
     q = models.embed(tables.asked(spark, sf_dir), "query")
     hits = search.hybrid(idx, models.embed(c), q)
     return search.compare(bm25=search.bm25(idx, q), hybrid=hits).select("retriever", "query_id", "rank", "doc_id", "position", "score")
@@ -147,7 +147,7 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {chunks_sql()}, {ASKED}, {scores_sql()}, h AS ({capped_sql(_BM25, 5, 2)}) SELECT query_id, md5('Passages:' || E'\\n\\n' || string_agg('[' || rank || '] (' || h.doc_id || ' - ' || d.title || ')' || E'\\n' || c.text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: ' || any_value(query) || E'\\nAnswer:') AS prompt FROM h JOIN asked USING (query_id) JOIN chunks c ON c.doc_id = h.doc_id AND c.position = h.position JOIN (SELECT doc_id, left(string_split(text, E'\\n')[1], 80) AS title FROM documents) d ON d.doc_id = h.doc_id GROUP BY query_id")
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = tables.chunks(spark, sf_dir), tables.asked(spark, sf_dir)
-    return search.prompts(search.bm25(search.index(c), q), c, q).select("query_id", F.md5("prompt").alias("prompt"))
+    return search.prompts(search.bm25(tables.indexed(spark, sf_dir), q), c, q).select("query_id", F.md5("prompt").alias("prompt"))
 
 
 # ---------------------------------------------------------------- corpus inspection
@@ -373,7 +373,7 @@ _RESULTS = f"""WITH {chunks_sql()}, {ASKED}, {scores_sql()}, hits AS ({capped_sq
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.chunks(spark, sf_dir)
-    hits = search.bm25(search.index(c), tables.asked(spark, sf_dir)).withColumn("query_id", F.col("query_id").cast("string"))
+    hits = search.bm25(tables.indexed(spark, sf_dir), tables.asked(spark, sf_dir)).withColumn("query_id", F.col("query_id").cast("string"))
     q = _gold(spark, sf_dir).withColumns({"answer": F.array_join(F.slice(F.split("question", " "), 1, 3), " "), "corpus_occurrences": F.lit(1).cast("long")})
     return evaluation.scored(q, hits, c)
 

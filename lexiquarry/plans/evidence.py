@@ -280,7 +280,7 @@ _ANSWERED = f"""{catalogue._RESULTS.removeprefix('WITH ')},
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as questions, some with a wrong document or an answer that no passage holds, and made-up answers."""
     c, b, k = tables.chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), F.col("item_id")
-    hits = search.bm25(search.index(c), tables.asked(spark, sf_dir)).withColumn("query_id", F.col("query_id").cast("string"))
+    hits = search.bm25(tables.indexed(spark, sf_dir), tables.asked(spark, sf_dir)).withColumn("query_id", F.col("query_id").cast("string"))
     gold = catalogue._gold(spark, sf_dir).select("id", "gold_doc")
     asked = k % 5 > 0
     q = b.withColumn("id", k.cast("string")).join(gold, "id", "left").select(
@@ -508,4 +508,4 @@ def cached_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {tables.chunks_sql()}, {tables.ASKED}, {tables.scores_sql()} SELECT query_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM ({catalogue._BEST}) WHERE c = 1 AND doc_id <= 50)) WHERE rank <= 10")
 def explain_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranking explained over named documents only."""
-    return search.explain(search.index(tables.chunks(spark, sf_dir)), tables.asked(spark, sf_dir), docs=list(range(51))).select("query_id", "rank", "doc_id", "score")
+    return search.explain(tables.indexed(spark, sf_dir), tables.asked(spark, sf_dir), docs=list(range(51))).select("query_id", "rank", "doc_id", "score")

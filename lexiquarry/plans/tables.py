@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as T
+from lexiquarry.operators import postings
 from lexiquarry.operators.chunking import chunk
+from lexiquarry.session import scratch, state
 
 #: These texts have no blank lines: a line is a paragraph.
 LINE = "\n"
@@ -27,6 +29,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(docs(spark, sf_dir), separator=LINE)
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The keyword index of the chunks, kept beside the scratch tables for as long as the files of documents stay as they are."""
+    now = state(table(spark, sf_dir, "documents"))
+    return postings.keep(spark, f"{scratch(spark)}/kept/keywords-{now}", lambda: chunks(spark, sf_dir))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark: an item's first eight terms are a query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 8), " ").alias("query"))

@@ -41,13 +41,46 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _place(spark, path)
+    return system.exists(at)
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder."""
+    at, system = _place(spark, path)
+    return sorted(x.getPath().toString() for x in system.listStatus(at))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _place(spark, path)
+    system.delete(at, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a finished folder to where readers look for it; False if one is there already."""
+    at, system = _place(spark, path)
+    end = _place(spark, to)[0]
+    return not system.exists(end) and system.rename(at, end)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialise` wrote; only for tables nothing unread depends on."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        delete(df.sparkSession, path)
+
+
+def state(df: DataFrame) -> str:
+    """A name for what a table's files hold now: it changes with any file's path, size or time of change. No column is read."""
+    files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("double").alias("t")).distinct()
+    n, x, s = files.agg(F.count("*"), F.bit_xor(F.xxhash64("p", "n", "t")), F.sum(F.xxhash64("t", "n", "p").cast("decimal(38,0)"))).first()
+    return f"{n}-{(x or 0) & (1 << 64) - 1:x}-{int(s or 0) & (1 << 64) - 1:x}"
 
 
 def sweep(spark: SparkSession) -> None:

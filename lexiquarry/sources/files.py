@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry import schemas
 from lexiquarry.functions import text as T
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+from lexiquarry.session import exists
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.DOCUMENT, tolerant: bool = False) -> DataFrame:

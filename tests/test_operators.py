@@ -1,10 +1,13 @@
+import collections
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import graph
-from lexiquarry.operators import chunking, duplicates, evaluation, ingest, questions, search
+from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, questions, search
 
 
 def test_chunks_keep_sizes_and_overlap(spark):
@@ -144,3 +147,54 @@ def test_scores_and_verdicts(spark):
     v = spark.createDataFrame([(key[0].answer_key, "correct", "2")], "answer_key string, verdict string, id string")
     rep = evaluation.verdict_report(res, v).first()
     assert (rep.automated, rep.reviewed) == (1, 2)
+
+
+def plain_bm25(rows, queries, k, per_doc):
+    """(query, rank, doc, position, score) by scoring every chunk."""
+    toks = {(d, p): re.findall(r"[a-z0-9]+(?:[-/][a-z0-9]+)*", x.lower()) for d, p, x in rows}
+    n, avg = len(rows), sum(map(len, toks.values())) / len(rows)
+    df = collections.Counter(t for x in toks.values() for t in set(x))
+    out = set()
+    for q, text in queries:
+        scores = []
+        for (d, p), x in toks.items():
+            tf = collections.Counter(x)
+            s = [math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(x) / avg)) for t in set(text.split()) if tf[t]]
+            if s:
+                scores.append((-round(sum(s), 6), d, p))
+        kept, seen = [], collections.Counter()
+        for s, d, p in sorted(scores):
+            seen[d] += 1
+            if not per_doc or seen[d] <= per_doc:
+                kept.append((s, d, p))
+        out |= {(q, i, d, p, -s) for i, (s, d, p) in enumerate(kept[:k], 1)}
+    return out
+
+
+def test_kept_index_opens_asked_buckets_and_passes_over_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "RANGE", 4)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    text = lambda: " ".join(vocab[min(399, int(rng.expovariate(0.02)))] for _ in range(rng.randrange(1, 40)))
+    rows = [(f"d{rng.randrange(150)}", p, text()) for p in range(600)]
+    chunks = spark.createDataFrame([(f"{d}#{p}", d, "t", "?", x, p) for d, p, x in rows], "chunk_id string, doc_id string, title string, agency string, text string, position int").repartition(3)
+    path = f"file://{tmp_path}/kept"
+    idx = postings.write(chunks, path)
+    asked = [(i, " ".join(rng.sample(vocab[:120], 2) + [vocab[200 + i]])) for i in range(20)] + [(98, "nothing here"), (99, "")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    for k, per_doc in ((3, 2), (7, 0), (1, 1)):
+        got = {(r.query_id, r["rank"], r.doc_id, r.position, r.score) for r in search.bm25(idx, queries, k, per_doc).collect()}
+        assert got == plain_bm25(rows, asked, k, per_doc)
+    read = search.ranges_read(idx, queries, 3, 2).agg(F.sum("read"), F.sum("ranges")).first()
+    assert read[0] < 0.7 * read[1]
+    # an index that is there is opened again, without its chunks, and a query's files are those of its terms' buckets
+    again = postings.keep(spark, path, lambda: 1 / 0)
+    one = again.ask(queries.where("query_id = 3"))
+    folders = {re.search(r"bucket=(\d+)", f)[1] for f in one.postings.inputFiles() + one.tops.inputFiles()}
+    want = {str(r.b) for r in spark.createDataFrame([(w,) for w in asked[3][1].split()], "term string").select(postings._bucket("term", again.buckets).alias("b")).collect()}
+    assert folders == want and len(again.filled) == 16
+    assert not spark.read.parquet(f"{path}/chunks").drop("range").exceptAll(chunks).count() and postings.write(chunks.limit(1), path).count == 600
+    named = search.explain(idx, queries, docs=["d1", "d2", "d3"]).collect()
+    assert named and {r.doc_id for r in named} <= {"d1", "d2", "d3"}
+    with pytest.raises(FileNotFoundError):
+        postings.open_index(spark, f"{path}-none")
