@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import tokens
+from lexiquarry.operators import vectors as blocked
 from lexiquarry.operators.postings import Asked, Index, index, keep, open_index  # noqa: F401  part of this module's interface
 from lexiquarry.session import materialise, small
 
@@ -77,52 +78,11 @@ def explain(idx: Index, queries: DataFrame, docs: list | None = None, top: int =
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC, digits: int = 5) -> DataFrame:
-    """Inner products of unit vectors; ``vectors (chunk_id, doc_id, position, embedding)``, ``queries (query_id, embedding)``.
+    """Inner products of unit vectors; ``vectors (chunk_id, doc_id, position, embedding)`` or their blocks, ``queries (query_id, embedding)``.
 
-    A stated set of queries against all rows: the queries go out in blocks of a fixed number of rows and each task scores its vectors by matrix products, keeping
-    for every query only what a capped top-k can still need from it.
+    A stated set of queries against all rows, by blocks that bounds pass over (:mod:`lexiquarry.operators.vectors`).
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = queries.select("query_id", "embedding").collect()  # the questions of one batch
-    out = None
-    for at in range(0, max(1, len(rows)), 4096):
-        some = rows[at : at + 4096]
-        ids = [r.query_id for r in some]
-        shared = queries.sparkSession.sparkContext.broadcast((ids, np.array([r.embedding for r in some], np.float64)))
-
-        def score(source, shared=shared):
-            ids, q = shared.value
-            for pdf in source:
-                if not len(ids) or not len(pdf):
-                    continue
-                got = np.round(np.stack(pdf.embedding.to_numpy()).astype(np.float64) @ q.T, digits)
-                # rows in the order that breaks ties, so that a stable sort by score ranks them
-                order = np.lexsort((pdf.position.to_numpy(), pdf.doc_id.to_numpy()))
-                got, doc = got[order], pd.factorize(pdf.doc_id.to_numpy()[order])[0]
-                ranked = np.argsort(-got, axis=0, kind="stable")  # a column for each query
-                if per_doc:
-                    # the place of each row among its document's: equal documents side by side, in rank order
-                    side = np.argsort(doc[ranked], axis=0, kind="stable")
-                    near = np.take_along_axis(doc[ranked], side, 0)
-                    at = np.arange(len(near))[:, None]
-                    first = np.maximum.accumulate(np.where(np.vstack([np.ones((1, near.shape[1]), bool), near[1:] != near[:-1]]), at, 0), axis=0)
-                    nth = np.empty_like(side)
-                    np.put_along_axis(nth, side, at - first, 0)
-                    ok = nth < per_doc
-                else:
-                    ok = np.ones(ranked.shape, bool)
-                rows, asks = np.nonzero(ok & (np.cumsum(ok, axis=0) <= k))
-                chosen = ranked[rows, asks]
-                part = pdf.iloc[order[chosen]][["chunk_id", "doc_id", "position"]]
-                yield part.assign(query_id=[ids[j] for j in asks], score=got[chosen, asks])[["query_id", "chunk_id", "doc_id", "position", "score"]]
-
-        kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-        qkind = queries.schema["query_id"].dataType.simpleString()
-        part = vectors.select("chunk_id", "doc_id", "position", "embedding").mapInPandas(score, f"query_id {qkind}, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, position {kinds['position']}, score double")
-        out = part if out is None else out.unionByName(part)
-    return capped(out, k, per_doc)
+    return capped(blocked.search(blocked.blocks(vectors), queries, k, per_doc, digits), k, per_doc)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = 5, per_doc: int = PER_DOC, rrf: int = RRF) -> DataFrame:

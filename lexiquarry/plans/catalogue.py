@@ -85,22 +85,22 @@ def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "doc_id", "score", "top_terms", "is_short")
 
 
-_DENSE = "SELECT q.vec_id AS query_id, v.label AS doc_id, v.vec_id AS position, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"
+_DENSE = "SELECT q.vec_id AS query_id, v.label AS doc_id, v.vec_id AS position, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
 
 
-def _probes(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(capped_sql(_DENSE, 5, 2))
 def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense(tables.vectors(spark, sf_dir), _probes(spark, sf_dir)).select("query_id", "rank", "doc_id", "position", "score")
+    return search.dense(tables.vector_blocks(spark, sf_dir), _probes(spark, sf_dir)).select("query_id", "rank", "doc_id", "position", "score")
 
 
-@query()
+@query(capped_sql(_DENSE, 50, 1))
 def search_dense_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every vector whose id is divisible by 20 (the SQL of ``search_dense`` asks a fifth of them)."""
-    return search.dense(tables.vectors(spark, sf_dir), _probes(spark, sf_dir, 20)).select("query_id", "rank", "doc_id", "position", "score")
+    """The best vector of each document, to the depth that a fusion or a second stage reads."""
+    return search.dense(tables.vector_blocks(spark, sf_dir), _probes(spark, sf_dir), search.DEPTH, 1).select("query_id", "rank", "doc_id", "position", "score")
 
 
 _FUSED = f"SELECT query_id, doc_id, position, round(sum(1 / (60.0 + rank)::DOUBLE), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL"
@@ -109,18 +109,15 @@ _FUSED = f"SELECT query_id, doc_id, position, round(sum(1 / (60.0 + rank)::DOUBL
 @query(f"WITH a AS ({capped_sql(_DENSE, 50, 0)}), b AS ({capped_sql(_DENSE, 50, 1)}) {capped_sql(_FUSED, 5, 2)}")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank fusion of two rankings of one set of chunks: all vectors, and the best of each document."""
-    return _fused(spark, sf_dir, _probes(spark, sf_dir))
+    v, q = tables.vector_blocks(spark, sf_dir), _probes(spark, sf_dir)
+    return search.fuse(search.dense(v, q, 50, 0), search.dense(v, q, 50, 1)).select("query_id", "rank", "doc_id", "position", "score")
 
 
-@query()
+@query(f"WITH a AS ({capped_sql(_DENSE, 50, 0)}), b AS ({capped_sql(_DENSE, 50, 1)}) {capped_sql(_FUSED, 20, 0)}")
 def search_fused_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every vector whose id is divisible by 20."""
-    return _fused(spark, sf_dir, _probes(spark, sf_dir, 20))
-
-
-def _fused(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
-    v = tables.vectors(spark, sf_dir)
-    return search.fuse(search.dense(v, q, 50, 0), search.dense(v, q, 50, 1)).select("query_id", "rank", "doc_id", "position", "score")
+    """The same fusion without a cap on a document's hits."""
+    v, q = tables.vector_blocks(spark, sf_dir), _probes(spark, sf_dir)
+    return search.fuse(search.dense(v, q, 50, 0), search.dense(v, q, 50, 1), 20, 0).select("query_id", "rank", "doc_id", "position", "score")
 
 
 _RERANKED = f"SELECT h.query_id, h.doc_id, h.position, round(len(list_intersect(list_distinct({TOKENS.format('query')}), {TOKENS.format('c.text')})) / len(list_distinct({TOKENS.format('query')}))::DOUBLE, 6) AS score FROM h JOIN asked USING (query_id) JOIN chunks c ON c.doc_id = h.doc_id AND c.position = h.position"
@@ -196,7 +193,7 @@ def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _H = "concat('0x', substr(md5({}), 1, 8))::BIGINT"
 _SKETCHES = f"""
-  w AS (SELECT doc_id, string_split({_COLLAPSED}, ' ')[1:20000] AS w FROM documents),
+  w AS (SELECT doc_id, string_split({_COLLAPSED}, ' ') AS w FROM documents),
   h AS (SELECT DISTINCT doc_id, {_H.format("array_to_string(w[i:i + 4], ' ')")} AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
   k AS (SELECT doc_id, h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM h) WHERE n <= 256),
   s AS (SELECT doc_id, list_sort(list(h)) AS s FROM k GROUP BY doc_id),
@@ -210,8 +207,8 @@ _CLUSTERS = f"""WITH RECURSIVE {_PAIRS},
   clusters AS (SELECT doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM named)"""
 
 
-def _sketched(spark: SparkSession, sf_dir: str, most: int | None = 20_000) -> DataFrame:
-    return duplicates.sketches(docs(spark, sf_dir), hashing=T.md5_hash, most=most)
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.sketches(docs(spark, sf_dir), hashing=T.md5_hash, most=None)
 
 
 @query(_CLUSTERS.format(0.6, 0.6) + " SELECT * FROM clusters")
@@ -333,7 +330,7 @@ def fact_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole builder over documents that state a docket: the first four words of each text stand for one."""
     d = docs(spark, sf_dir).withColumns({"docket_ids": F.array(F.array_join(F.slice(T.words("text"), 1, 4), " ")), "regulation_id_numbers": F.array().cast("array<string>"), "comments_close_on": F.lit(None).cast("string"), "effective_on": F.lit(None).cast("string")})
-    made = questions.question_set(d, d, duplicates.clusters(_sketched(spark, sf_dir, None), duplicates.MAKER), 40)
+    made = questions.question_set(d, d, duplicates.clusters(_sketched(spark, sf_dir), duplicates.MAKER), 40)
     return made.select("id", "type", "question", "answer", "gold_doc", F.array_join("distractors", " ").alias("distractors"))
 
 

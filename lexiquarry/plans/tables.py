@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as T
 from lexiquarry.operators import postings
+from lexiquarry.operators import vectors as blocked
 from lexiquarry.operators.chunking import chunk
 from lexiquarry.session import scratch, state
 
@@ -45,6 +46,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.col("vec_id").alias("position"), "embedding")
 
 
+def vector_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as blocks, kept for as long as the files of embeddings stay as they are."""
+    now = state(table(spark, sf_dir, "embeddings"))
+    return blocked.keep(spark, f"{scratch(spark)}/kept/vectors-{now}", lambda: vectors(spark, sf_dir))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations: a user's turn is a question, the assistant's next one the answer; what is expected is the answer's first three words."""
     c = table(spark, sf_dir, "conversations")

@@ -3,11 +3,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import graph
-from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, questions, search
+from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, questions, search, vectors
 
 
 def test_chunks_keep_sizes_and_overlap(spark):
@@ -198,3 +199,42 @@ def test_kept_index_opens_asked_buckets_and_passes_over_ranges(spark, tmp_path,
     assert named and {r.doc_id for r in named} <= {"d1", "d2", "d3"}
     with pytest.raises(FileNotFoundError):
         postings.open_index(spark, f"{path}-none")
+
+
+def plain_dense(rows, queries, k, per_doc):
+    out = set()
+    for q, v in queries:
+        kept, seen = [], collections.Counter()
+        for s, d, p, c in sorted((-round(float(np.dot(v, w)), 5), d, p, c) for c, d, p, w in rows):
+            seen[d] += 1
+            if not per_doc or seen[d] <= per_doc:
+                kept.append((q, len(kept) + 1, c, d, p, -s))
+        out |= set(kept[:k])
+    return out
+
+
+@pytest.mark.parametrize("shard", [vectors.SHARD, 64])
+def test_vector_blocks(spark, tmp_path, shard, monkeypatch):
+    monkeypatch.setattr(vectors, "SIZE", 16)
+    monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "PART", 8)
+    monkeypatch.setattr(vectors, "ENTRIES", 500)
+    rng = np.random.default_rng(3)
+    mids = rng.normal(size=(12, 8))
+    near = lambda i: (lambda v: (v / np.linalg.norm(v)).tolist())(mids[i % 12] + 0.1 * rng.normal(size=8))
+    rows = [(f"c{i}", f"d{i % 90}", i, near(i)) for i in range(500)] + [(f"s{i}", f"d{i % 5}", 1000 + i, near(0)) for i in range(3)]
+    rows += [(f"t{i}", "same", 2000 + i, rows[7][3]) for i in range(60)]  # one vector many times
+    queries = [(i, near(i)) for i in range(20)] + [(77, [0.0] * 8)]
+    kind = "chunk_id string, doc_id string, position int, embedding array<double>"
+    bad = [("n", "d", 1, None), ("m", "d", 2, [None] * 8), ("i", "d", 3, [float("inf")] * 8)]
+    kept = vectors.write(spark.createDataFrame(rows + bad, kind), f"file://{tmp_path}/{shard}")
+    asked = spark.createDataFrame([*queries, (78, None)], "query_id long, embedding array<double>")
+    for k, per_doc in ((5, 2), (3, 0), (1000, 1)):
+        got = {(r.query_id, r["rank"], r.chunk_id, r.doc_id, r.position, r.score) for r in search.dense(kept, asked, k, per_doc).collect()}
+        assert got == plain_dense(rows, queries, k, per_doc)
+    read = vectors.blocks_read(kept, asked.where("query_id < 20"), 3, 0).agg(F.sum("read"), F.sum("blocks")).first()
+    assert read[0] < 0.4 * read[1]
+    plan = search.dense(kept, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert vectors.keep(spark, f"file://{tmp_path}/{shard}", lambda: 1 / 0).count() == kept.count()
+    assert search.dense(spark.createDataFrame([], kind), asked).count() == 0 and search.dense(kept, asked.limit(0)).count() == 0

@@ -57,7 +57,7 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path):
                 for r, (_, d, p) in enumerate(ranked(scores, 50, per_doc), 1):
                     total[d, p] = total.get((d, p), 0) + 1 / (60 + r)
             fused |= {(i, r, d, p) for r, (_, d, p) in enumerate(ranked([(round(s, 9), *dp) for dp, s in total.items()], 5, 2), 1)}
-    for name, want in (("search_dense_all", dense), ("search_fused_all", fused)):
+    for name, want in (("search_dense", dense), ("search_fused", fused)):
         assert {(r.query_id, r["rank"], r.doc_id, r.position) for r in catalogue.QUERIES[name](spark, at).collect()} == want and len({q for q, *_ in want}) == 7
 
 
