@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as T
+from lexiquarry.operators.prefix import running
 from lexiquarry.session import materialise, small
 
 #: How questions are worded, by the field that answers them (1: the agency, 2: the subject).
@@ -179,7 +180,7 @@ def unanswerable_questions(docs: DataFrame, limit: int, seed: int = 0, id_col: s
 
 def numbered(df: DataFrame, prefix: str = "q", order=("_order",)) -> DataFrame:
     """``df`` with ids like q001 in ``order``."""
-    return df.withColumn("id", F.format_string(prefix + "%03d", F.row_number().over(Window.orderBy(*order))))
+    return running(df, [F.col(c) for c in order], name="_at0").withColumn("id", F.format_string(prefix + "%03d", F.col("_at0") + 1)).drop("_at0")
 
 
 def question_set(docs: DataFrame, source: DataFrame, clustered: DataFrame, n: int = 60, share_discriminator: float = 0.25, share_unanswerable: float = 0.15, seed: int = 0, id_col: str = "document_number") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiquarry import schemas
 from lexiquarry.functions import text as T
 from lexiquarry.session import exists
+from lexiquarry.sources import committed
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.DOCUMENT, tolerant: bool = False) -> DataFrame:
@@ -38,18 +39,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Verdict rows of a JSON object keyed by answer; a missing file has none."""
-    if not exists(spark, path):
+    """Verdict rows of JSON objects keyed by answer: one file that people or another tool wrote, or what :func:`write_verdicts` committed; nothing there has none."""
+    found = committed.parts(spark, path) or ([path] if exists(spark, path) and not exists(spark, f"{path.rstrip('/')}/commits") else [])
+    if not found:
         return spark.createDataFrame([], schemas.VERDICT)
     kind = "map<string, struct<verdict:string,id:string,question:string,expected:string,generated:string>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("answer_key", "v"))
+    rows = spark.read.text(found, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("answer_key", "v"))
     return rows.select("answer_key", "v.*")
 
 
-def write_verdicts(df: DataFrame, path: str) -> None:
-    """The same object again, of what reviewers said (one line: people write these)."""
-    value = F.struct("verdict", "id", "question", "expected", "generated")
-    df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("answer_key", value))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_verdicts(df: DataFrame, path: str, each: int = 10_000) -> None:
+    """The same objects again, about ``each`` verdicts to a file; they replace those that are there in one step."""
+    rows = df.select("answer_key", "verdict", "id", "question", "expected", "generated")
+    files = max(1, -(-rows.count() // each))
+    committed.write(rows.repartitionByRange(files, "answer_key").sortWithinPartitions("answer_key"), path, key="answer_key", append=False)
 
 
 def content_digest(chunks: DataFrame) -> str:

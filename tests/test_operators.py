@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import graph
-from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, questions, search, vectors
+from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, prefix, questions, search, vectors
 
 
 def test_chunks_keep_sizes_and_overlap(spark):
@@ -238,3 +239,64 @@ def test_vector_blocks(spark, tmp_path, shard, monkeypatch):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert vectors.keep(spark, f"file://{tmp_path}/{shard}", lambda: 1 / 0).count() == kept.count()
     assert search.dense(spark.createDataFrame([], kind), asked).count() == 0 and search.dense(kept, asked.limit(0)).count() == 0
+
+
+def test_running_sums_of_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, rng.randrange(50)]), rng.randrange(1000), rng.randrange(5)) for _ in range(700)]
+    data = spark.createDataFrame(rows, "a int, b int, w int").repartition(5)
+    got = prefix.running(data, [F.col("a"), F.col("b")], F.col("w"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "SinglePartition" not in plan
+    total = 0
+    for (a, b), some in itertools.groupby(sorted(got.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b, r.before)), key=lambda r: (r.a, r.b)):
+        for r in some:
+            assert r.before == total
+            total += r.w
+    values = [r[1] for r in rows]
+    spots = duplicates.at_positions(data, "b", {"low": 0.0, "mid": 0.5, "top": 1.0}).first()
+    assert (spots.low, spots.mid, spots.top) == (min(values), sorted(values)[350], max(values))
+    assert duplicates.at_positions(data.limit(0), "b", {"mid": 0.5}).first().mid is None and prefix.running(data.limit(0), [F.col("a")]).count() == 0
+    ids = questions.numbered(data.select(F.col("b").alias("_order")), "q").orderBy("_order", "id").collect()
+    assert sorted(r.id for r in ids) == sorted(f"q{i:03d}" for i in range(1, 701)) and [r.id for r in ids if r["_order"] == max(values)][-1] == "q700"
+
+
+def jaccard(a, b, k=256):
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union)
+
+
+def test_links_connect_what_pairs_would(spark, monkeypatch):
+    rng = random.Random(12)
+    sets = []
+    for _ in range(25):  # families whose members drift, sharing one passage with everything
+        s = set(rng.sample(range(10**6), 30))
+        for _ in range(rng.randrange(1, 9)):
+            s = set(s) - set(rng.sample(sorted(s), rng.randrange(0, 7))) | {rng.randrange(10**6) for _ in range(5)}
+            sets.append(sorted(s | {1, 2, 3}))
+    data = spark.createDataFrame(list(enumerate(sets)), "doc_id int, s array<int>")
+    names = [0.3, 0.6, 0.8]
+    for pairs in (duplicates.PAIRS, 0):
+        monkeypatch.setattr(duplicates, "PAIRS", pairs)
+        for t in names[: 3 if pairs else 2]:
+            root = list(range(len(sets)))
+            find = lambda x: x if root[x] == x else find(root[x])
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                if jaccard(sets[i], sets[j]) >= t:
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+            got = {r.doc_id: r.cluster_id for r in duplicates.clusters(data, t).collect()}
+            size = collections.Counter(map(find, range(len(sets))))
+            assert got == {i: find(i) for i in range(len(sets)) if size[find(i)] > 1}
+    best = {i: max(jaccard(sets[i], sets[j]) for j in range(len(sets)) if j != i) for i in range(len(sets))}
+    got = {r.doc_id: r.nearest for r in duplicates.nearest(data).collect()}
+    assert got.keys() == best.keys() and all(abs(got[i] - best[i]) < 1e-12 for i in best)
+
+
+def test_a_family_of_near_copies_is_scored_in_proportion(spark, monkeypatch):
+    n, met = 3000, []
+    rows = [(i, sorted(set(range(1, 101)) - {1 + i % 100, 1 + i // 100 % 100} | {1000 + 2 * i, 1001 + 2 * i})) for i in range(n)]
+    data = spark.createDataFrame(rows, "doc_id int, s array<int>").repartition(4)
+    plain = duplicates._scored
+    monkeypatch.setattr(duplicates, "_scored", lambda pairs, *a: met.append(pairs.count()) or plain(pairs, *a))
+    assert {(r.cluster_id, r.size) for r in duplicates.clusters(data, 0.8).collect()} == {(0, n)}
+    assert sum(met) < 5 * n

@@ -1,9 +1,13 @@
+import http.server
 import json
+import threading
+import urllib.parse
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexiquarry import models
-from lexiquarry.sources import files, rest
+from lexiquarry import models, schemas
+from lexiquarry.sources import committed, files, rest
 from lexiquarry.streaming import arrivals
 
 
@@ -101,9 +105,126 @@ def test_generation_keeps_errors(spark):
     assert [tuple(r) for r in rows] == [("1", "A", None), ("2", None, "ValueError: no")]
 
 
-def test_arrivals(spark, tmp_path):
+def doc(number, day=None, text="w " * 200, **more):
+    return json.dumps({"document_number": number, "text": text, "publication_date": day, **more})
+
+
+def test_arrivals_keep_undated_and_late_documents_once(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"document_number": n, "text": "w " * 200, "publication_date": "2026-08-03"}) for n in ("a", "a", "C1-2026")))
-    q = arrivals.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
-    q.awaitTermination(60)
-    assert [r.document_number for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["a"]
+
+    def run():
+        arrivals.ingest(spark, at("in"), at("out"), at("cp")).awaitTermination(120)
+        return sorted(r.document_number or "-" for r in arrivals.present(spark, at("out")).collect())
+
+    (tmp_path / "in/a.json").write_text("\n".join([doc("D-1", "2026-09-01"), doc("D-1", "2026-09-01"), doc("D-2"), doc("C1-2026"), doc("short", text="x"), doc(None)]))
+    assert run() == ["-", "D-1", "D-2"]
+    (tmp_path / "in/b.json").write_text("\n".join([doc("D-3", "2026-09-02", docket_ids=["x"]), doc("D-4"), doc("D-5", "2026-07-01"), doc("D-2", "2026-09-03")]))
+    assert run() == ["-", "D-1", "D-2", "D-3", "D-4", "D-5"] and run() == ["-", "D-1", "D-2", "D-3", "D-4", "D-5"]
+    # a batch that is run again, as after a failure between its commit and the checkpoint's, adds nothing
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp/commits" / name).unlink()
+    assert run() == ["-", "D-1", "D-2", "D-3", "D-4", "D-5"]
+
+
+def test_commits_are_whole_and_once(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/set", "k string, a array<int>, d date"
+    rows = spark.createDataFrame([(f"k{i}", [i] if i % 2 else None, None) for i in range(40)], kind).repartition(4)
+    assert committed.read(spark, path, kind).count() == 0
+    bad = rows.withColumn("k", F.udf(lambda k: k if k != "k39" else 1 / 0)("k"))
+    with pytest.raises(Exception, match="division"):
+        committed.write(bad, path, "one")
+    assert committed.read(spark, path, kind).count() == 0 and not list((tmp_path / "set").glob("commits/*"))
+    for commit in ("one", "one", "two"):
+        committed.write(rows, path, commit)
+    assert committed.read(spark, path, kind).count() == 80 and committed.read(spark, path, kind).distinct().exceptAll(rows).count() == 0
+    (tmp_path / "set/parts/one/left-by-a-lost-task.json").write_text('{"k": "never", "a": nul')
+    committed.write(rows.limit(3), path, append=False)
+    committed.write(rows.limit(0), path)
+    assert committed.read(spark, path, kind).count() == 3
+    with pytest.raises(Exception, match="name"):
+        committed.write(rows, path, "a/b")
+
+
+def test_verdicts_of_many_files(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    rows = spark.createDataFrame([(f"k{i:02d}", "correct", str(i), "q \"é\"", None, "g") for i in range(25)], schemas.VERDICT)
+    files.write_verdicts(rows.limit(3), path)
+    files.write_verdicts(rows, path, each=5)
+    assert files.read_verdicts(spark, path).exceptAll(rows).count() == 0 and files.read_verdicts(spark, path).count() == 25
+    found = [json.loads(open(p[7:] if p.startswith("file://") else p[5:]).read()) for p in committed.parts(spark, path)]
+    assert len(found) > 2 and {k for m in found for k in m} == {f"k{i:02d}" for i in range(25)}  # each file is an object keyed by answer
+    (tmp_path / "old.json").write_text(json.dumps({"k": {"verdict": "wrong", "id": "1", "question": "q", "expected": "e", "generated": "g"}}))
+    assert files.read_verdicts(spark, f"file://{tmp_path}/old.json").first().verdict == "wrong"
+
+
+@pytest.fixture()
+def source():
+    """A listing that answers by day and type, with the requests it saw."""
+
+    class Source(http.server.BaseHTTPRequestHandler):
+        days: dict = {}
+        seen: list = []
+
+        def do_GET(self):
+            asked = urllib.parse.urlparse(self.path)
+            Source.seen.append(self.path)
+            if asked.path == "/docs.json":
+                q = urllib.parse.parse_qs(asked.query)
+                day, types = q["conditions[publication_date][is]"][0], q.get("conditions[type][]")
+                rows = [{"document_number": n, "title": n, "type": t, "publication_date": day} for n, t in Source.days.get(day, []) if not types or t in types]
+                body = json.dumps({"results": rows}).encode()
+            elif asked.path.endswith(".json"):
+                n = urllib.parse.unquote(asked.path.split("/")[-1][:-5])
+                body = json.dumps({"document_number": n, "title": f"About {n}", "raw_text_url": f"http://127.0.0.1:{port}/raw/{n}"}).encode()
+            else:
+                body = b"<html><pre>" + b"word &amp; " * 100 + b"</pre></html>"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Source)
+    port = server.server_address[1]
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield Source, f"http://127.0.0.1:{port}/docs.json"
+    server.shutdown()
+
+
+def test_listing_stream_goes_on_where_it_stopped(spark, tmp_path, source):
+    src, url = source
+    src.days, src.seen = {"2026-08-03": [("a", "RULE"), ("b", "NOTICE")], "2026-08-04": [("c", "RULE")]}, []
+
+    def run(today):
+        arrivals.ingest_listing(spark, url, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "2026-08-03", today, back=2).awaitTermination(120)
+        return sorted(r.document_number for r in arrivals.present(spark, f"file://{tmp_path}/out").collect())
+
+    assert run("2026-08-04") == ["a", "b", "c"]
+    src.days |= {"2026-08-04": [("c", "RULE"), ("late", "RULE")], "2026-08-05": [("d", "RULE")], "2026-08-03": [("a", "RULE"), ("b", "NOTICE"), ("too late", "RULE")]}
+    src.seen = []
+    assert run("2026-08-06") == ["a", "b", "c", "d", "late", "too late"]
+    assert {urllib.parse.parse_qs(p.split("?")[1])["conditions[publication_date][is]"][0] for p in src.seen if "?" in p} == {"2026-08-03", "2026-08-04", "2026-08-05", "2026-08-06"}
+    assert not any(f"/{n}.json" in p for p in src.seen for n in "abc")  # those held already are not fetched again
+    src.days["2026-08-03"] = [("behind the window", "RULE")]
+    assert run("2026-08-10") == ["a", "b", "c", "d", "late", "too late"]
+    rows = arrivals.present(spark, f"file://{tmp_path}/out").where("document_number = 'a'").first()
+    assert rows.title == "About a" and rows.word_count == 200 and rows.text.startswith("word & word")
+
+
+def test_filters_become_requests(spark, source):
+    src, url = source
+    src.days, src.seen = {f"2026-08-{d:02d}": [(f"r{d}", "RULE"), (f"n{d}", "NOTICE")] for d in range(1, 32)}, []
+    listing = rest.listing(spark, url, "2026-08-03", "2026-08-31")
+
+    def asked(df):
+        src.seen.clear()
+        got = sorted(r.document_number for r in df.collect())
+        q = [urllib.parse.parse_qs(p.split("?")[1]) for p in src.seen]
+        return got, sorted(x["conditions[publication_date][is]"][0][-2:] for x in q), {tuple(x.get("conditions[type][]", [])) for x in q}
+
+    assert asked(listing.where("publication_date >= '2026-08-27' and type = 'RULE'")) == (["r27", "r28", "r31"], ["27", "28", "31"], {("RULE",)})
+    assert asked(listing.where(F.col("publication_date").isin("2026-08-05", "2026-08-07", "2026-08-08") & F.col("type").isin("NOTICE", "OTHER"))) == (["n5", "n7"], ["05", "07"], {("NOTICE", "OTHER")})
+    assert asked(listing.where("publication_date > '2026-08-27' and publication_date < '2026-08-31'"))[:2] == (["n28", "r28"], ["28"])
+    assert asked(listing.where("type = 'RULE' and type = 'NOTICE'"))[:2] == ([], []) and asked(listing.where("publication_date > '2026-08-2'"))[1][0] == "03"
