@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +13,46 @@ OVERLAP = 150
 BLANK_LINE = r"\n(?U:\s*)\n"
 
 
+def packed(paragraphs: list[str], size: int, overlap: int) -> tuple[list[str], str]:
+    """Finished chunks and what is left, in time linear to the text: a paragraph is looked at once, and a buffer is joined once.
+
+    Paragraphs gather in a buffer up to ``size`` characters; a full one ends a chunk, and its tail opens the next. A longer paragraph is sliced, its last slice stays.
+    """
+    stride = size - overlap
+    done, buffer, length = [], [], 0  # the buffer's pieces, to be joined by blank lines
+    for p in paragraphs:
+        at = 0
+        if len(p) > size:
+            if length:
+                done.append("\n\n".join(buffer))
+                buffer, length = [], 0
+            while len(p) - at > size:
+                done.append(p[at : at + size])
+                at += stride
+        rest = p[at:]
+        if length and length + len(rest) + 2 > size:
+            whole = "\n\n".join(buffer)
+            done.append(whole)
+            buffer = [f"{whole[-overlap:]}\n{rest}" if overlap else rest]
+            length = len(buffer[0])
+        else:
+            length += len(rest) + (2 if length else 0)
+            buffer.append(rest)
+    return done, "\n\n".join(buffer)
+
+
 def chunks_of(text: Column, size: int = SIZE, overlap: int = OVERLAP, separator: str = BLANK_LINE) -> Column:
     """An array of chunks: paragraphs packed up to ``size`` characters; longer ones sliced; a chunk's tail opens the next."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
-    stride = size - overlap
     paragraphs = F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
 
-    def pack(state, p):
-        long = F.length(p) > size
-        slices = F.when(long, F.ceil((F.length(p) - size) / stride).cast("int")).otherwise(0)
-        heads = F.when(long, F.transform(F.sequence(F.lit(1), F.greatest(slices, F.lit(1))), lambda i: F.substring(p, (i - 1) * stride + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-        rest = F.substring(p, slices * stride + 1, F.length(p))
-        held = F.when((state["buffer"] != ""), F.array(state["buffer"])).otherwise(F.array().cast("array<string>"))
-        done = F.when(long, F.concat(state["done"], held, heads)).otherwise(state["done"])
-        buffer = F.when(long, "").otherwise(state["buffer"])
-        full = (buffer != "") & (F.length(buffer) + F.length(rest) + 2 > size)
-        carried = F.concat(F.right(buffer, F.lit(overlap)), F.lit("\n"), rest) if overlap else rest
-        return F.struct(
-            F.when(full, F.concat(done, F.array(buffer))).otherwise(done).alias("done"),
-            F.when(full, carried).when(buffer != "", F.concat(buffer, F.lit("\n\n"), rest)).otherwise(rest).alias("buffer"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"))
-    tail = lambda s: F.filter(F.array(strip(s["buffer"])), lambda x: x != "")
-    return F.aggregate(paragraphs, start, pack, lambda s: F.concat(s["done"], tail(s)))
+    @F.arrow_udf("struct<done:array<string>,left:string>")
+    def pack(lists: pa.Array) -> pa.Array:
+        made = [([], "") if x is None else packed(x.as_py(), size, overlap) for x in lists]
+        return pa.StructArray.from_arrays([pa.array([d for d, _ in made], pa.list_(pa.string())), pa.array([r for _, r in made], pa.string())], ["done", "left"])
+
+    return F.transform(F.array(pack(paragraphs)), lambda s: F.concat(s["done"], F.filter(F.array(strip(s["left"])), lambda x: x != "")))[0]
 
 
 def chunk(docs: DataFrame, id_col: str = "document_number", size: int = SIZE, overlap: int = OVERLAP, separator: str = BLANK_LINE) -> DataFrame:

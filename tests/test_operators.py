@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -22,6 +23,17 @@ def test_chunks_keep_sizes_and_overlap(spark):
         chunking.chunks_of(F.lit("x"), 10, 10)
 
 
+def test_packing_is_linear():
+    took = []
+    for n in (1, 8):
+        lines = ["line of some words " * 3] * (60_000 * n) + ["x" * 200_000 * n]
+        began = time.process_time()
+        done, left = chunking.packed(lines, 1200, 150)
+        took.append(time.process_time() - began)
+        assert sum(map(len, done)) > 0.9 * sum(map(len, lines)) and max(map(len, done)) <= 1200 and 0 < len(left) <= 1200
+    assert took[1] < 20 * max(took[0], 0.01)
+
+
 def index_of(spark, rows):
     chunks = spark.createDataFrame([(f"{d}#{p}", d, "t", "?", x, p) for d, p, x in rows], "chunk_id string, doc_id string, title string, agency string, text string, position int")
     return search.index(chunks), chunks

@@ -176,7 +176,7 @@ def source():
                 body = json.dumps({"results": rows}).encode()
             elif asked.path.endswith(".json"):
                 n = urllib.parse.unquote(asked.path.split("/")[-1][:-5])
-                body = json.dumps({"document_number": n, "title": f"About {n}", "raw_text_url": f"http://127.0.0.1:{port}/raw/{n}"}).encode()
+                body = json.dumps({"document_number": n, "title": f"About {n}", "raw_text_url": f"http://127.0.0.1:{port}/raw/{urllib.parse.quote(n)}"}).encode()
             else:
                 body = b"<html><pre>" + b"word &amp; " * 100 + b"</pre></html>"
             self.send_response(200)
