@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hmac
 import os
+import secrets
+import socket
+import socketserver
 import sys
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -98,10 +103,75 @@ class Pace:
         self.next = now + self.gap
 
 
+class Slots:
+    """Times at which calls may be made, so many a minute, handed out in turn."""
+
+    def __init__(self, per_minute: float, clock=time.monotonic):
+        self.gap, self.clock, self.next, self.lock = (60 / per_minute if per_minute > 0 else 0), clock, None, threading.Lock()
+
+    def reserve(self) -> float:
+        """Seconds until the caller's time."""
+        with self.lock:
+            now = self.clock()
+            at = now if self.next is None else max(now, self.next)
+            self.next = at + self.gap
+            return at - now
+
+
+class PaceServer:
+    """One pace for the tasks of all executors: the driver hands out times over a socket. ``with PaceServer(spark, 60) as pace: generate(prompts, lambda: Client(..., pace=pace))``.
+
+    A request carries a secret and is answered with the seconds to wait. A task that is lost leaves its time unused, so the rate is kept but never passed.
+    """
+
+    def __init__(self, spark, per_minute: float, clock=time.monotonic):
+        self.slots, self.secret = Slots(per_minute, clock), secrets.token_hex(16)
+        self.host = spark.conf.get("spark.driver.host", "127.0.0.1")
+        slots, secret = self.slots, self.secret
+
+        class Answer(socketserver.StreamRequestHandler):
+            timeout = 30
+
+            def handle(self):
+                for line in self.rfile:
+                    if not hmac.compare_digest(line.strip().decode("ascii", "replace"), secret):
+                        return
+                    self.wfile.write(f"{slots.reserve()!r}\n".encode())
+
+        class Server(socketserver.ThreadingTCPServer):
+            daemon_threads = True
+            allow_reuse_address = True
+
+        self.server = Server((spark.conf.get("spark.driver.bindAddress", self.host), 0), Answer)
+
+    def __enter__(self) -> SharedPace:
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return SharedPace(self.host, self.server.server_address[1], self.secret)
+
+    def __exit__(self, *why) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+class SharedPace:
+    """A task's end of :class:`PaceServer`, in place of a :class:`Pace`."""
+
+    def __init__(self, host: str, port: int, secret: str, sleep=time.sleep):
+        self.host, self.port, self.secret, self.sleep = host, port, secret, sleep
+
+    def wait(self) -> None:
+        with socket.create_connection((self.host, self.port), timeout=30) as s:
+            s.sendall(f"{self.secret}\n".encode())
+            answer = s.makefile().readline()
+        if not answer:
+            raise OSError("the pace server gave no time")
+        self.sleep(float(answer))
+
+
 class Client:
     """Chat completions over HTTP, with retries; ``transport(url, headers, body, timeout)`` gives (status, headers, body)."""
 
-    def __init__(self, name: str, model: str | None = None, env=os.environ, transport=None, pace: Pace | None = None, tries: int = 5, timeout: float = 120, sleep=time.sleep):
+    def __init__(self, name: str, model: str | None = None, env=os.environ, transport=None, pace: Pace | SharedPace | None = None, tries: int = 5, timeout: float = 120, sleep=time.sleep):
         if name not in PROVIDERS and name not in ("anthropic", "ollama"):
             raise ValueError(f"unknown backend: {name}")
         self.name, self.model, self.env, self.transport, self.pace, self.tries, self.timeout, self.sleep = name, model, env, transport or _http, pace or Pace(), tries, timeout, sleep

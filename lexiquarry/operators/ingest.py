@@ -61,6 +61,15 @@ def recent_days(spark: SparkSession, today: str | None = None, back: int = 30) -
     return business_days(spark, (end - timedelta(days=back)).isoformat(), end.isoformat())
 
 
+def covered_days(docs: DataFrame, date_col: str = "publication_date", back: int | None = None) -> DataFrame:
+    """``(day, n)``: the business days of a table, from its first date to its last, or of the ``back`` days up to the last, with how many rows each has; days without any are there."""
+    days = docs.select(F.try_to_date(F.col(date_col).cast("string").substr(1, 10)).alias("day")).where("day is not null")
+    ends = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    first = F.col("first") if back is None else F.date_sub("last", back)
+    open_ = ends.where("last is not null").select(F.explode(F.sequence(first, F.col("last"))).alias("day")).where(F.weekday("day") < 5)
+    return open_.join(days.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def new_only(incoming: DataFrame, present: DataFrame, key: str = "document_number") -> DataFrame:
     """Rows whose key is not there yet."""
     return incoming.join(present.select(key).distinct(), key, "left_anti")

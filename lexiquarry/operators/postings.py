@@ -12,18 +12,20 @@ import json
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiquarry.functions.text import tokens
-from lexiquarry.session import delete, exists, listing, materialise, rename, scratch, small
+from lexiquarry.session import delete, exists, free_shuffles, listing, materialise, rename, scratch, small
 
 K1 = 1.5
 B = 0.75
 BUCKET = 20_000  # chunks for each bucket of terms
 BUCKETS = 16, 4096  # at least and at most
-RANGE = 32  # chunks of a range
+RANGE = 64  # chunks of a range
 LITERALS = 2_000  # asked terms up to which they are handed to the scan one by one
 ABOUT = "count long, average double, buckets int, filled array<int>, postings string, tops string"
 
@@ -100,21 +102,38 @@ def _weight(average: float) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
 
 
+def _counted(words: str) -> Column:
+    """Distinct terms of an array with how often each is there, in the row itself: counting by a group would send every term of every chunk through a shuffle."""
+
+    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
+    def count(lists: pa.Array) -> pa.Array:
+        offsets, words_ = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        code = words_.indices.to_numpy().astype(np.int64)
+        pair, tf = np.unique(row * max(1, len(words_.dictionary)) + code, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(words_.dictionary)), minlength=len(lists)))])
+        held = pa.StructArray.from_arrays([words_.dictionary.take(pa.array(pair % max(1, len(words_.dictionary)))), pa.array(tf, pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+
+    return count(words)
+
+
 def _by_bucket(df: DataFrame, buckets: int, path: str) -> None:
     """Rows of one bucket side by side, sorted; a bucket that is too large for a task goes to several files."""
-    df.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(path)
+    df.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def write(chunks: DataFrame, path: str) -> Index:
     """Cut and read ``chunks (chunk_id, doc_id, position, text, ...)`` once and write their index to ``path``; an index that is there already stays and is opened."""
     spark = chunks.sparkSession
+    free_shuffles(spark)
     made = f"{path}-{uuid.uuid4().hex}"
-    chunks.withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE)).write.parquet(f"{made}/chunks")
+    chunks.withColumn("range", F.floor(F.monotonically_increasing_id() / RANGE)).write.option("compression", "zstd").parquet(f"{made}/chunks")
     held = spark.read.parquet(f"{made}/chunks")
     count = held.count()
     buckets = min(max(BUCKETS[0], count // BUCKET), BUCKETS[1])
-    each = held.select("range", "chunk_id", "doc_id", "position", tokens("text").alias("t")).select("range", "chunk_id", "doc_id", "position", F.size("t").alias("len"), F.explode("t").alias("term"))
-    counts = each.groupBy("term", "range", "chunk_id", "doc_id", "position", "len").agg(F.count("*").alias("tf"))
+    terms = held.select("range", "chunk_id", "doc_id", "position", tokens("text").alias("t")).select("range", "chunk_id", "doc_id", "position", F.size("t").alias("len"), F.explode(_counted("t")).alias("x"))
+    counts = terms.select(F.col("x.term").alias("term"), "range", "chunk_id", "doc_id", "position", "len", F.col("x.tf").alias("tf"))
     _by_bucket(counts, buckets, f"{made}/postings")
     kinds = {"postings": counts.schema}
     postings = spark.read.schema(counts.schema).parquet(*_folders(spark, f"{made}/postings"))

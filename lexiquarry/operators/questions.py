@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,29 +126,51 @@ def _shape(df: DataFrame, kind: str, distractors=None, note=None) -> DataFrame:
 def fact_questions(checked: DataFrame, limit: int, used: dict[str, int] | None = None, share: float = 0.4, seed: int = 0) -> DataFrame:
     """Up to ``limit`` questions, one for a document; a field has at most ``share`` of them unless too few are left otherwise.
 
-    ``checked`` are verified candidates. Choosing depends on what was chosen before, so it runs in one task, on no more than
-    the first ``8 * limit`` documents of the seeded order for each field: more can never be chosen.
+    ``checked`` are verified candidates. Documents come in a seeded order, and each takes its first candidate of a field that isn't full by then. So up to where the next
+    field is full, a document's choice depends on the open fields alone: each step finds that place from the first few choices of each field, accepts what lies
+    before it, closes the field and goes on behind it. There are no more steps than fields, and nothing but places is collected.
     """
     most = max(1, int(limit * share))
-    by_field = F.row_number().over(Window.partitionBy("field").orderBy(seeded(F.col("doc_id"), seed), "doc_id", "place"))
-    few = checked.withColumn("_n", by_field).where(F.col("_n") <= 8 * max(1, limit)).withColumn("_k", seeded(F.col("doc_id"), seed)).drop("_n")
-    start = dict(used or {})
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, done, rows = dict(start), set(), []
-        ordered = pdf.sort_values(["_k", "doc_id", "place"])
-        for capped in (True, False):
-            for r in ordered.itertuples():
-                if len(rows) >= limit:
-                    break
-                if r.doc_id in done or capped and counts.get(r.field, 0) >= most:
-                    continue
-                done.add(r.doc_id)
-                counts[r.field] = counts.get(r.field, 0) + 1
-                rows.append((r.question, r.answer, r.field, str(r.doc_id), r.corpus_occurrences, len(rows)))
-        return pd.DataFrame(rows, columns=["question", "answer", "answer_field", "gold_doc", "corpus_occurrences", "_o"])
-
-    return _shape(few.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(choose, "question string, answer string, answer_field string, gold_doc string, corpus_occurrences long, _o long"), "fact")
+    rows = materialise(checked.select("question", "answer", "field", "doc_id", "place", "corpus_occurrences").withColumn("_k", seeded(F.col("doc_id"), seed)), "checked")
+    room = {f: most - (used or {}).get(f, 0) for f in sorted(r.field for r in rows.select("field").distinct().collect() if r.field is not None)}  # the fields that answers come from
+    room, left, after, taken = {f: n for f, n in room.items() if n > 0}, limit, None, []
+    place = F.struct("_k", "doc_id")
+
+    def choices(of: DataFrame) -> DataFrame:
+        """Each document's first candidate."""
+        first = of.groupBy("_k", "doc_id").agg(F.min(F.struct("place", "question", "answer", "field", "corpus_occurrences")).alias("x"))
+        return first.select("_k", "doc_id", "x.question", "x.answer", "x.field", "x.corpus_occurrences")
+
+    def last(of: DataFrame, n: int, name: str | None) -> DataFrame:
+        return of.orderBy("_k", "doc_id").limit(n).agg(F.lit(name).alias("field"), F.count("*").alias("n"), F.max(place).alias("at"))
+
+    while room and left > 0:
+        rest = rows.where(F.col("field").isin(list(room)))
+        if after is not None:
+            rest = rest.where((F.col("_k") > after[0]) | ((F.col("_k") == after[0]) & (F.col("doc_id") > after[1])))
+        chosen = choices(rest)
+        ends = reduce(DataFrame.unionByName, [last(chosen.where(F.col("field") == f), min(n, left), f) for f, n in room.items()] + [last(chosen, left, None)]).collect()  # a row for each field
+        full = [(tuple(r["at"]), r.field) for r in ends if r.n == (left if r.field is None else room[r.field])]
+        stop = min((at for at, _ in full), default=None)
+        got = chosen.orderBy("_k", "doc_id").limit(left)
+        if stop is not None:
+            got = got.where((F.col("_k") < stop[0]) | ((F.col("_k") == stop[0]) & (F.col("doc_id") <= stop[1])))
+        taken.append(materialise(got.withColumn("_turn", F.lit(len(taken))), "facts"))
+        counts = {r.field: r.n for r in taken[-1].groupBy("field").agg(F.count("*").alias("n")).collect()}
+        left -= sum(counts.values())
+        room = {f: n - counts.get(f, 0) for f, n in room.items() if n > counts.get(f, 0)}
+        after = stop
+        if stop is None:
+            break
+    if left > 0:  # too few: whatever documents are left have to say
+        rest = rows
+        for some in taken:
+            rest = rest.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")  # at most limit rows
+        taken.append(choices(rest).orderBy("_k", "doc_id").limit(left).withColumn("_turn", F.lit(len(taken))))
+    if not taken:
+        taken = [choices(rows.where("false")).withColumn("_turn", F.lit(0))]
+    ordered = running(reduce(DataFrame.unionByName, taken), [F.col("_turn"), F.col("_k"), F.col("doc_id")], name="_o")
+    return _shape(ordered.select("question", "answer", F.col("field").alias("answer_field"), F.col("doc_id").cast("string").alias("gold_doc"), "corpus_occurrences", "_o"), "fact")
 
 
 def discriminator_questions(checked: DataFrame, clustered: DataFrame, limit: int, seed: int = 0) -> DataFrame:
@@ -207,18 +231,18 @@ def drop_duplicates(questions: DataFrame) -> DataFrame:
     return questions.join(gone, F.col("id") == F.col("_id"), "left_anti")
 
 
-def term_documents(docs: DataFrame, id_col: str = "document_number") -> DataFrame:
-    """``(term, doc_id, df)``: title and text's distinct terms, with the number of documents that have each."""
+def term_documents(docs: DataFrame, id_col: str = "document_number", terms: DataFrame | None = None) -> DataFrame:
+    """``(term, doc_id, df)``: title and text's distinct terms (of ``terms (term)`` only, if given), with the number of documents that have each."""
     title = F.coalesce("title", F.lit("")) if "title" in docs.columns else F.lit("")
     each = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", title, T.without_masthead("text"))))).alias("term"))
-    each = materialise(each, "terms")
+    each = materialise(each if terms is None else each.join(small(terms), "term", "left_semi"), "terms")
     return each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term")
 
 
 def leakage(questions: DataFrame, docs: DataFrame, most: int = 5, id_col: str = "document_number") -> DataFrame:
     """``(id, type, gold_doc, rarest_df, fingerprint_terms, rare_terms)``: words of a question that few documents have, its own among them."""
     asked = materialise(questions.select("id", "type", "gold_doc", F.explode_outer(T.content_terms("question")).alias("term")), "asked")
-    rare = term_documents(docs, id_col).where(F.col("df") <= most).join(small(asked.select("term").distinct()), "term", "left_semi")
+    rare = term_documents(docs, id_col, asked.select("term").where("term is not null").distinct()).where(F.col("df") <= most)
     hits = asked.join(rare.select("term", F.col("doc_id").cast("string").alias("gold_doc"), "df"), ["term", "gold_doc"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r"))
     rows = questions.select("id", "type", "gold_doc").join(hits, "id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<df:bigint,term:string>>")))
     return rows.select("id", "type", "gold_doc", F.try_element_at("r", F.lit(1))["df"].alias("rarest_df"), F.transform(F.filter("r", lambda x: x["df"] == 1), lambda x: x["term"]).alias("fingerprint_terms"), F.transform("r", lambda x: x["term"]).alias("rare_terms"))

@@ -129,7 +129,8 @@ def judged(results: DataFrame, choices: DataFrame, present: DataFrame | None = N
     return new if present is None else present.select(new.columns).unionByName(new)
 
 
-def probed(sample: DataFrame, kept: list[str]) -> DataFrame:
-    """``(field, present)``: which of the fields that are kept a sample of the source has."""
-    have = set(sample.columns)
-    return sample.sparkSession.createDataFrame([(f, f in have) for f in kept], "field string, present boolean")
+def probed(details: DataFrame, kept: list[str], col: str = "detail") -> DataFrame:
+    """``(field, n)``: how many of the source's records, JSON objects in ``col``, have each of the fields that are kept; a field that none has shows that the source renamed it."""
+    seen = details.select(F.explode(F.json_object_keys(col)).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    wanted = details.sparkSession.createDataFrame([(f,) for f in kept], "field string")
+    return wanted.join(seen, "field", "left").select("field", F.coalesce("n", F.lit(0)).alias("n"))

@@ -59,9 +59,14 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.spelled_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("spelled"))
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(DATE '2026-08-01', DATE '2026-09-30', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6")
+DAYS = """WITH o AS (SELECT o_orderdate::DATE AS d FROM orders), e AS (SELECT {} AS a, max(d) AS b FROM o), w AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM e)
+  SELECT strftime(w.d, '%Y-%m-%d') AS day, count(o.d) AS n FROM w LEFT JOIN o ON o.d = w.d WHERE isodow(w.d) < 6 GROUP BY w.d"""
+
+
+@query(DAYS.format("min(d)"))
 def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.business_days(spark, "2026-08-01", "2026-09-30").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    """The business days from the first order to the last, with the orders of each."""
+    return ingest.covered_days(table(spark, sf_dir, "orders"), "o_orderdate").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
 # ---------------------------------------------------------------- retrieval

@@ -459,14 +459,19 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", reports.preview("text").alias("preview"))
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(DATE '2026-09-15' - 30, DATE '2026-09-15', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6")
+@query(catalogue.DAYS.format("max(d) - 30"))
 def recent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.recent_days(spark, "2026-09-15").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    """The same of the thirty days up to the last order: the window of a run that names no dates, which moves with the table."""
+    return ingest.covered_days(table(spark, sf_dir, "orders"), "o_orderdate", 30).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query("SELECT field, field IN ('document_number', 'title', 'type') AS present FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in schemas.KEPT) + "]) AS field)")
+_HELD = {"document_number": "document_number", "title": "title", "comments_close_on": "comments_close_on", "effective_on": "effective_on", "docket_ids": "docket_ids", "regulation_id_numbers": "rins"}
+
+
+@query(f"WITH {FILINGS} SELECT field, CASE field " + " ".join(f"WHEN '{k}' THEN count({v})" for k, v in _HELD.items()) + " ELSE 0 END AS n FROM filings, (SELECT unnest([" + ", ".join(f"'{f}'" for f in schemas.KEPT) + "]) AS field) GROUP BY field")
 def probed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.probed(docs(spark, sf_dir).select("document_number", "title", "type", "text"), schemas.KEPT)
+    """Which of the kept fields the filings have, as JSON records, which leave out what is null."""
+    return reports.probed(filings(spark, sf_dir).select(F.to_json(F.struct("*")).alias("detail")), schemas.KEPT)
 
 
 @query(f"WITH {FILINGS} SELECT document_number, title, comments_close_on, nullif(array_to_string(docket_ids, '|'), '') AS dockets, md5(text) AS digest FROM filings")

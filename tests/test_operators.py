@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry import graph
-from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, prefix, questions, search, vectors
+from lexiquarry.operators import chunking, duplicates, evaluation, ingest, postings, prefix, questions, reports, search, vectors
 
 
 def test_chunks_keep_sizes_and_overlap(spark):
@@ -312,3 +312,41 @@ def test_a_family_of_near_copies_is_scored_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "_scored", lambda pairs, *a: met.append(pairs.count()) or plain(pairs, *a))
     assert {(r.cluster_id, r.size) for r in duplicates.clusters(data, 0.8).collect()} == {(0, n)}
     assert sum(met) < 5 * n
+
+
+def plain_facts(rows, limit, used, share, key):
+    """The rule in turn: rows in seeded order, one for a document, no field over its share; then, if there are too few, without shares."""
+    most, counts, done, out = max(1, int(limit * share)), dict(used), set(), []
+    for capped in (True, False):
+        for r in sorted(rows, key=lambda r: (key[r["doc_id"]], r["doc_id"], r["place"])):
+            if len(out) < limit and r["doc_id"] not in done and not (capped and counts.get(r["field"], 0) >= most):
+                done.add(r["doc_id"])
+                counts[r["field"]] = counts.get(r["field"], 0) + 1
+                out.append((r["question"], r["field"], str(r["doc_id"])))
+    return out
+
+
+def test_facts_are_chosen_as_in_turn(spark):
+    rng = random.Random(9)
+    for case in range(5):
+        rows = []
+        for d in range(40):
+            fields = rng.sample(["a", "b", "c", "d"], rng.randrange(0, 4)) if case else ["a"]
+            rows += [{"question": f"q{d}{f}", "answer": "x", "field": f, "doc_id": f"d{d}", "place": i, "corpus_occurrences": 1} for i, f in enumerate(fields)]
+        limit, share = [(12, 0.4), (12, 0.25), (30, 0.3), (60, 0.4), (1, 0.4)][case]
+        used = {"a": 2, "z": 5} if case == 1 else {}
+        data = spark.createDataFrame(rows, "question string, answer string, field string, doc_id string, place int, corpus_occurrences long").repartition(3)
+        key = {r.doc_id: r.k for r in data.select("doc_id", questions.seeded(F.col("doc_id"), 0).alias("k")).collect()}
+        got = [(r.question, r.answer_field, r.gold_doc) for r in questions.fact_questions(data, limit, used, share).orderBy("_order").collect()]
+        assert got == plain_facts(rows, limit, used, share, key)
+    assert questions.fact_questions(data.limit(0), 5).count() == 0
+
+
+def test_days_and_fields_of_a_table(spark):
+    rows = [("2026-08-03",), ("2026-08-03",), ("2026-08-06T10:00:00",), ("2026-08-08",), ("soon",), (None,)]
+    data = spark.createDataFrame(rows, "publication_date string")
+    days = lambda back=None: [(str(r.day), r.n) for r in ingest.covered_days(data, back=back).orderBy("day").collect()]
+    assert days() == [("2026-08-03", 2), ("2026-08-04", 0), ("2026-08-05", 0), ("2026-08-06", 1), ("2026-08-07", 0)] and days(3) == days()[2:]
+    assert ingest.covered_days(data.limit(0)).count() == 0
+    details = spark.createDataFrame([('{"title": "a", "type": null}',), ('{"title": "b"}',), ("broken",), (None,)], "detail string")
+    assert {(r.field, r.n) for r in reports.probed(details, ["title", "type", "gone"]).collect()} == {("title", 2), ("type", 1), ("gone", 0)}

@@ -92,6 +92,26 @@ def test_pace():
     assert slept == [1.0]
 
 
+def test_all_tasks_share_one_pace(spark):
+    slots = models.Slots(60, lambda: 100.0)
+    assert [slots.reserve() for _ in range(4)] == [0.0, 1.0, 2.0, 3.0] and models.Slots(0, lambda: 0.0).reserve() == 0.0
+    with models.PaceServer(spark, 60, clock=lambda: 0.0) as pace:  # a clock that stands still: the waits are the calls' times
+        host, port, secret = pace.host, pace.port, pace.secret
+
+        def run(rows):
+            waits = []
+            mine = models.SharedPace(host, port, secret, sleep=waits.append)
+            for pdf in rows:
+                for _ in range(len(pdf)):
+                    mine.wait()
+                yield pdf.assign(w=waits[-len(pdf) :])
+
+        got = sorted(r.w for r in spark.range(0, 64, 1, 8).mapInPandas(run, "id long, w double").collect())
+        with pytest.raises(OSError):
+            models.SharedPace(host, port, "guess").wait()
+    assert got == [float(i) for i in range(64)]  # 64 calls of 8 tasks take 64 slots of a second
+
+
 def test_generation_keeps_errors(spark):
     def make():
         def call(prompt):
