@@ -155,7 +155,14 @@ class Encoder:
         rest = [x for x in range(256) if x not in set(kept)]
         letters = {x: x for x in kept} | {x: 256 + i for i, x in enumerate(rest)}  # the byte alphabet of byte-level vocabularies
         with open(path, encoding="utf-8") as f:
-            self.merge = Merger(json.load(f)["model"], letters)
+            told = json.load(f)
+        #: whether pieces are cut and merged as this class does; another vocabulary's texts all go to the library as they are
+        split, kind = told.get("pre_tokenizer") or {}, told["model"]
+        self.assumed = told.get("normalizer") is None and told.get("truncation") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and kind.get("type") == "BPE"
+        self.assumed = self.assumed and not any(kind.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if not self.assumed:
+            return
+        self.merge = Merger(kind, letters)
         self.mark = self.merge.byte[list(range(256))].astype(np.uint32)
         # bytes that Latin letters up to U+024F are made of; what else those bytes can make is told apart by pairs
         self.other = np.ones(256, np.int64)
@@ -199,6 +206,8 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end mark; a null text counts as empty."""
         out: list = [np.zeros(0, np.uint32)] * len(texts)
+        if not self.assumed:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         todo = []
         for i, text in enumerate(texts):
             if text and self._whole(text):

@@ -185,6 +185,20 @@ def test_token_file(docs, nothing, spark, tmp_path):
     assert len(got) == len(order) and tokenbin.token_binary(nothing).count() == 0
 
 
+def test_another_vocabulary_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(open(tokenbin.vocabulary()).read()) | {"normalizer": {"type": "Lowercase"}}
+    at = tmp_path / "lower.json"
+    at.write_text(json.dumps(told))
+    texts = ["One Two THREE, four.", "", "Émile  and\nÖL", "a" * 500]
+    got = tokenbin.Encoder(str(at))([*texts, None])
+    assert [x.tolist() for x in got] == [*(Tokenizer.from_file(str(at)).encode(t, add_special_tokens=False).ids for t in texts), []]
+    assert got[0].tolist() != tokenbin.Encoder(tokenbin.vocabulary())(texts)[0].tolist()
+
+
 def test_pieces_are_encoded_like_whole_texts():
     from tokenizers import Tokenizer
 
