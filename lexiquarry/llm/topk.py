@@ -3,8 +3,8 @@
 Vectors become whole numbers. Members are indexed once, in blocks, where they lie: a block's postings (dimension, member, component) are cut into
 segments by quantised impact, the size of a component, and written in descending order. Queries, a stated set, go out in blocks of bounded bytes. Each
 reads the segments from the highest impact down and adds their postings to its scores. What is unread can change a score by at most the
-query's length times the length of a member's unread part. Reading stops only once that proves that few members can still be among
-a query's k best; those are scored again exactly, in whole numbers of any size.
+query's length times the length of a member's unread part. The members that lead are scored exactly on the way, which gives a score that the k-th best has at least.
+Reading stops only once these prove that few members can still be among a query's k best; those are scored again exactly, in whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ LEVELS = 8
 MEMBERS = 8192  # of an index block at most
 QUERY_BYTES = 32 << 20  # of queries sent to every executor at once
 QUERIES_EACH = 128  # scored together
+LEADERS = 4  # times k members that are scored exactly after a segment
+RESCORE = 6  # reading stops once at most one member in so many is still possible
 _BLOCK = "ids binary, width int, forward binary, ends binary, dims binary, members binary, values binary"
 
 
@@ -39,8 +41,11 @@ def index_block(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> t
     return ids.astype("<i8").tobytes(), vectors.shape[1], vectors.astype("<f8").tobytes(), ends.astype("<i8").tobytes(), dim.astype("<u4").tobytes(), member.astype("<u4").tobytes(), vectors[member, dim].astype("<f8").tobytes()
 
 
-def search_block(q_ids: np.ndarray, queries: np.ndarray, block: tuple, k: int = K) -> list[tuple[int, int, int]]:
-    """``(query, member, score)`` of the k best members of each query, ties to the smaller id; members that share the query's id take no part."""
+def search_block(q_ids: np.ndarray, queries: np.ndarray, block: tuple, k: int = K, stats: list | None = None) -> list[tuple[int, int, int]]:
+    """``(query, member, score)`` of the k best members of each query, ties to the smaller id; members that share the query's id take no part.
+
+    ``stats`` gains how many postings were read, of how many, and how many members were scored again.
+    """
     ids, width, forward, ends, dims, members, values = block
     ids, ends = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
     dims, members, values = np.frombuffer(dims, "<u4"), np.frombuffer(members, "<u4"), np.frombuffer(values, "<f8")
@@ -56,24 +61,30 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, block: tuple, k: int =
     whole, lengths = np.sqrt(unread), np.sqrt((queries**2).sum(1))
     slack = 1e-12 * whole[:, None] * lengths[None, :] + 1e-9  # over what rounding can add up to
     own = ids[:, None] == q_ids[None, :]
-    possible, start = ~own, 0
+    possible, start, read = ~own, 0, 0
+    segment = np.zeros((len(ids), queries.shape[1]))
     for end in ends.tolist():
-        some = dims[start:end]
-        cuts = [0, *(np.flatnonzero(np.diff(some)) + 1).tolist(), len(some)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                at = slice(start + a, start + b)
-                scores[members[at]] += values[at, None] * queries[:, some[a]]
-        np.subtract.at(unread, members[start:end], values[start:end] ** 2)
-        start = end
+        # a segment's postings for all queries at once, as a matrix that holds nothing else
+        at = members[start:end], dims[start:end]
+        segment[at] = values[start:end]
+        scores += segment @ queries.T
+        segment[at] = 0.0
+        np.subtract.at(unread, at[0], values[start:end] ** 2)
+        start = read = end
+        if len(ids) <= k or end == len(dims) or unread.sum() > (whole**2).sum() / 4:  # too much is left for a proof
+            continue
+        # what the rest can still change: the lengths of both, or the query's sum times the greatest component that is left
         left = np.sqrt(np.maximum(0.0, unread) + 1e-12 * whole**2)
-        bound = left[:, None] * lengths[None, :] * (end < len(dims)) + slack
-        if len(ids) > k:
-            low = np.where(own, -np.inf, scores - bound)
-            best = -np.partition(-low, k - 1, axis=0)[k - 1]
-            possible = ~own & (scores + bound >= best)
-        if possible.sum() <= 8 * k * len(queries):
+        bound = np.minimum(left[:, None] * lengths[None, :], np.abs(queries).sum(1)[None, :] * np.abs(values[end:]).max(initial=0)) + slack
+        # exact scores of the members that lead so far: the k-th of them is at most the k-th of all
+        some = np.argpartition(np.where(own, np.inf, -scores), min(len(ids) - 1, LEADERS * k), axis=0)[: LEADERS * k]
+        exact = np.where(np.take_along_axis(own, some, 0), -np.inf, np.einsum("kqd,qd->kq", light[some], queries[:, : light.shape[1]]))
+        best = -np.partition(-exact, k - 1, axis=0)[k - 1] if len(exact) >= k else np.full(len(queries), -np.inf)
+        possible = ~own & (scores + bound + slack >= best)
+        if possible.sum() * RESCORE <= possible.size:
             break
+    if stats is not None:
+        stats.append((read * len(queries), len(dims) * len(queries), int(possible.sum())))
     out = []
     for j in range(len(queries)):
         some = np.flatnonzero(possible[:, j])

@@ -274,6 +274,19 @@ def test_language_id_rejects_what_it_never_learned():
         assert model.predict(text)[2], text
 
 
+def test_topk_stops_before_the_last_segment():
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(2000, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1)[:, None])
+    ids, asked, stats = np.arange(2000), np.arange(0, 2000, 50), []
+    got = topk.search_block(asked, vectors[asked], topk.index_block(ids, vectors), 5, stats)
+    scores = (vectors[asked] @ vectors.T).astype(int)
+    want = [(q, *x) for q, row in zip(asked.tolist(), scores.tolist()) for x in sorted(((i, s) for i, s in enumerate(row) if i != q), key=lambda x: (-x[1], x[0]))[:5]]
+    assert got == want
+    read, of, again = stats[0]
+    assert read < 0.6 * of and again < 0.2 * 2000 * len(asked)
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "MEMBERS", 60)
     monkeypatch.setattr(topk, "QUERIES_EACH", 2)
