@@ -16,7 +16,7 @@ from lexiquarry.session import materialise, small
 
 PER_DOC = 2
 DEPTH = 50
-SEEDS = 4  # ranges of greatest bound that are scored before others are passed over
+SEEDS = 16  # ranges of greatest bound that are scored before others are passed over
 RRF = 60
 DIGITS = 6
 

@@ -350,3 +350,10 @@ def test_days_and_fields_of_a_table(spark):
     assert ingest.covered_days(data.limit(0)).count() == 0
     details = spark.createDataFrame([('{"title": "a", "type": null}',), ('{"title": "b"}',), ("broken",), (None,)], "detail string")
     assert {(r.field, r.n) for r in reports.probed(details, ["title", "type", "gone"]).collect()} == {("title", 2), ("type", 1), ("gone", 0)}
+
+
+def test_shares_of_nothing(spark):
+    row = spark.createDataFrame([(3, 4), (0, 0)], "a long, b long").select(evaluation.share_of(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r.s for r in row] == [0.75, None]
+    none = spark.createDataFrame([], "id string, gold_doc string, hit boolean, rank int, answer_in_context boolean, answer_in_gold_context boolean")
+    assert evaluation.retrieval_metrics(none).first().hit_rate is None
