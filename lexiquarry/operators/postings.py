@@ -21,13 +21,15 @@ from pyspark.sql.types import StructType
 from lexiquarry.functions.text import tokens
 from lexiquarry.session import delete, exists, free_shuffles, listing, materialise, rename, scratch, small
 
+#: Names how an index is laid out; one of another layout is not opened.
+FORMAT = 3
 K1 = 1.5
 B = 0.75
 BUCKET = 20_000  # chunks for each bucket of terms
 BUCKETS = 16, 4096  # at least and at most
 RANGE = 64  # chunks of a range
 LITERALS = 2_000  # asked terms up to which they are handed to the scan one by one
-ABOUT = "count long, average double, buckets int, filled array<int>, postings string, tops string"
+ABOUT = "format int, count long, average double, buckets int, filled array<int>, postings string, tops string"
 
 
 @dataclass
@@ -142,7 +144,7 @@ def write(chunks: DataFrame, path: str) -> Index:
     _by_bucket(tops, buckets, f"{made}/tops")
     kinds["tops"] = tops.schema
     filled = [int(p.rsplit("=", 1)[1]) for p in _folders(spark, f"{made}/postings")] if average else []
-    spark.createDataFrame([(count, float(average), buckets, filled, *(kinds[k].json() for k in ("postings", "tops")))], ABOUT).coalesce(1).write.json(f"{made}/about")
+    spark.createDataFrame([(FORMAT, count, float(average), buckets, filled, *(kinds[k].json() for k in ("postings", "tops")))], ABOUT).coalesce(1).write.json(f"{made}/about")
     if not rename(spark, made, path):
         delete(spark, made)
     return open_index(spark, path)
@@ -158,6 +160,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     if not exists(spark, f"{path}/about"):
         raise FileNotFoundError(path)
     r = spark.read.schema(ABOUT).json(f"{path}/about").first()
+    if r.format != FORMAT:
+        raise ValueError(f"{path} is laid out in another way; write it anew")
     return Index(spark, path, r["count"], r["average"], r["buckets"], list(r.filled or []), {k: StructType.fromJson(json.loads(r[k])) for k in ("postings", "tops")})
 
 

@@ -33,7 +33,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The keyword index of the chunks, kept beside the scratch tables for as long as the files of documents stay as they are."""
     now = state(table(spark, sf_dir, "documents"))
-    return postings.keep(spark, f"{scratch(spark)}/kept/keywords-{now}", lambda: chunks(spark, sf_dir))
+    return postings.keep(spark, f"{scratch(spark)}/kept/keywords-{postings.FORMAT}-{now}", lambda: chunks(spark, sf_dir))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
