@@ -149,9 +149,12 @@ def _search(table: pa.Table, ids: pa.Array, q: np.ndarray, least: np.ndarray, k:
 
 
 def _meet(blocks_: DataFrame, queries: DataFrame, shards: int, parts: int, run, out: str) -> DataFrame:
-    """``run(blocks, queries)`` for every shard of blocks and part of queries; both sides repeat for the other, and meet by key."""
-    shard = F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard")
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+    """``run(blocks, queries)`` for every shard of blocks and part of queries; both sides repeat for the other, and meet by key.
+
+    Keys are of one type on both sides: a cogroup deals each side by its own, and equal numbers of two types lie in different partitions.
+    """
+    shard = F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard")
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
     left = blocks_.select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "*")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part, "*")
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(run, out)

@@ -253,6 +253,26 @@ def test_vector_blocks(spark, tmp_path, shard, monkeypatch):
     assert search.dense(spark.createDataFrame([], kind), asked).count() == 0 and search.dense(kept, asked.limit(0)).count() == 0
 
 
+def test_vector_shards_meet_wherever_they_lie(spark, tmp_path, monkeypatch):
+    """Partitions of a cogroup stay apart: both sides must be dealt by equal keys of one type."""
+    monkeypatch.setattr(vectors, "SIZE", 16)
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    monkeypatch.setattr(vectors, "PART", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 10, i, rng.normal(size=8).tolist()) for i in range(300)]
+    asked = spark.createDataFrame([(i, v) for i, _, _, v in rows[::20]], "query_id long, embedding array<double>")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        kept = vectors.write(spark.createDataFrame(rows, "chunk_id long, doc_id int, position long, embedding array<double>"), f"file://{tmp_path}/blocks")
+        got = {(r.query_id, r["rank"], r.chunk_id, r.doc_id, r.position, r.score) for r in search.dense(kept, asked).collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert got == plain_dense(rows, [(i, v) for i, _, _, v in rows[::20]], 5, 2)
+
+
 def test_running_sums_of_ranges(spark):
     rng = random.Random(6)
     rows = [(rng.choice([None, rng.randrange(50)]), rng.randrange(1000), rng.randrange(5)) for _ in range(700)]
