@@ -324,6 +324,28 @@ def test_links_connect_what_pairs_would(spark, monkeypatch):
     assert got.keys() == best.keys() and all(abs(got[i] - best[i]) < 1e-12 for i in best)
 
 
+def test_nearest_by_common_hashes_is_scored_in_proportion(spark, monkeypatch):
+    rng, n, scored = random.Random(4), 900, []
+    monkeypatch.setattr(duplicates, "COMMON", 20, raising=False)
+    inner = duplicates._scored
+    monkeypatch.setattr(duplicates, "_scored", lambda pairs, classes, k: (scored.append(pairs.count()), inner(pairs, classes, k))[1])
+    sets = []
+    for i in range(n):  # hashes of their own, some common ones, and rare ones that two or three share
+        own = rng.sample(range(10**6), rng.choice((3, 30, 60)))
+        sets.append(sorted(set(own) | {10**7 * x for x in rng.sample(range(8), rng.randrange(6))} | ({10**8 + i // 3} if i % 5 == 0 else set())))
+    data = spark.createDataFrame(list(enumerate(sets)), "doc_id int, s array<int>").repartition(4)
+    k = 48
+    got = {r.doc_id: r.nearest for r in duplicates.nearest(data, k).collect()}
+
+    def score(a, b):
+        least = sorted(set(a) | set(b))[:k]
+        return len(set(a) & set(b) & set(least)) / len(least)
+
+    for i in range(0, n, 9):
+        assert abs(got[i] - max(score(sets[i], sets[j]) for j in range(n) if j != i)) < 1e-12
+    assert sum(scored) < 5 * n  # all pairs that share a common hash would be over 200 for each
+
+
 def test_a_family_of_near_copies_is_scored_in_proportion(spark, monkeypatch):
     n, met = 3000, []
     rows = [(i, sorted(set(range(1, 101)) - {1 + i % 100, 1 + i // 100 % 100} | {1000 + 2 * i, 1001 + 2 * i})) for i in range(n)]
