@@ -90,3 +90,10 @@ def test_answer_key(spark):
     df = spark.createDataFrame([("q1", "why", None)], "id string, question string, generated string")
     got = df.select(T.answer_key("id", "question", "generated").alias("a"), T.answer_key("id", "question", "generated", F.lit(False)).alias("b")).first()
     assert got.a == hashlib.sha256(b"q1|why|None").hexdigest()[:16] and got.b == hashlib.sha256(b"q1|why|").hexdigest()[:16]
+
+
+def test_only_texts_beyond_ascii_are_decomposed_in_python(spark):
+    rows = spark.createDataFrame([("plain text",), ("ﬁve résumés",), (None,), ("",)], "x string").select("x", T.plain_scored("x").alias("y"))
+    assert [r.y for r in rows.collect()] == ["plain text", "five re sume s", "", ""]
+    calls = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "run(" in line and "EvalPython" in line]
+    assert calls and all("RLIKE" in line for line in calls)
