@@ -96,12 +96,18 @@ def hybrid(idx: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, per_d
     return fuse(bm25(idx, queries, depth, 0), dense(vectors, queries, depth, 0), k, per_doc, rrf)
 
 
+def fetched(chunks: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+    """``(chunk_id, ...)`` of the chunks that ``hits`` name: their ids go to the chunks if they are few, so that texts of others are not shuffled. Pass materialised hits."""
+    return chunks.select("chunk_id", *columns).join(small(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")
+
+
 def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, scorer=None, k: int = 5, per_doc: int = PER_DOC) -> DataFrame:
     """Hits of a first stage, scored again as (query, text) pairs; the cap comes after."""
     from lexiquarry.models import overlap_score
 
     scorer = scorer or overlap_score
-    pairs = hits.drop("score", "rank").join(small(queries.select("query_id", "query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    hits = materialise(hits.drop("score", "rank"), "stage")
+    pairs = hits.join(small(queries.select("query_id", "query")), "query_id").join(fetched(chunks, hits, "text"), "chunk_id")
     return capped(pairs.select("query_id", "chunk_id", "doc_id", "position", F.round(scorer(F.col("query"), F.col("text")), DIGITS).alias("score")), k, per_doc)
 
 
@@ -130,7 +136,8 @@ def compare(**rankings: DataFrame) -> DataFrame:
 
 def prompts(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, prompt)``: numbered passages in rank order, then the question."""
-    texts = hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id")
+    hits = materialise(hits, "hits")
+    texts = hits.join(fetched(chunks, hits, "title", "text"), "chunk_id")
     passage = F.format_string("[%d] (%s - %s)\n%s", F.col("rank"), F.col("doc_id").cast("string"), F.col("title"), F.col("text"))
     lists = texts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))).alias("ps"))
     body = F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n")

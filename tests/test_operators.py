@@ -214,6 +214,15 @@ def test_kept_index_opens_asked_buckets_and_passes_over_ranges(spark, tmp_path,
         postings.open_index(spark, f"{path}-none")
 
 
+def test_texts_of_retrieved_chunks_only_are_fetched(spark):
+    chunks = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.lit("t").alias("title"), F.lit("some text").alias("text"))
+    hits = spark.createDataFrame([(1, "c5"), (2, "c5"), (2, "c7")], "query_id int, chunk_id string")
+    got = search.fetched(chunks, hits, "text")
+    assert sorted(r.chunk_id for r in got.collect()) == ["c5", "c7"] and got.columns == ["chunk_id", "text"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
 def plain_dense(rows, queries, k, per_doc):
     out = set()
     for q, v in queries:
