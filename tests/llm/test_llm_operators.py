@@ -546,3 +546,31 @@ def test_long_fuzzy_lines_meet_in_longer_grams(spark):
     met = np.mean([((a[i] == a[j]) & (a[i] > 0)).any() for i in range(0, 400, 9) for j in range(i)])
     values = fuzzylines.bands(fuzzylines.minhashes(lines)[0])
     assert met < 0.5 * np.mean([(values[i] == values[j]).any() for i in range(0, 400, 9) for j in range(i)])
+
+
+def test_shared_phrases_are_those_of_triggers_that_several_documents_hold(spark):
+    rng = random.Random(5)
+    word = lambda: bytes(rng.randrange(97, 123) for _ in range(rng.randrange(2, 9)))
+    line, passage = b" ".join(word() for _ in range(20)), b" ".join(word() for _ in range(40))
+    docs = []
+    for i in range(60):
+        own = b" ".join(word() for _ in range(60))
+        # one line everywhere, passages of documents far apart and of one document, rows that share an id
+        docs.append((i % 55, i, own + line + (passage if i in (3, 58) else b"") + (own if i % 7 == 0 else b"")))
+    rows = spark.createDataFrame(docs, "doc long, th long, t binary").repartition(3)
+    got = anchors.runs(*anchors.byte_units([t for _, _, t in docs]), bytesdedup.WINDOW, bytesdedup.GRAM)
+    every = [(k, docs[d][0], docs[d][1], s, c, g) for k, d, s, c, g in zip(got.key.view(np.int64).tolist(), got.doc.tolist(), got.start.tolist(), got.count.tolist(), got.digest.view(np.int64).tolist())]
+    holders = collections.defaultdict(set)
+    for key, doc, *_ in every:
+        holders[key].add(doc)
+    want = collections.Counter(x for x in every if len(holders[x[0]]) > 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # triggers meet within batches and across them
+    try:
+        assert collections.Counter(map(tuple, repeats.shared(rows, bytesdedup.BYTES).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert 0 < len(want) < len(every)
+    assert repeats.shared(rows.where("false"), bytesdedup.BYTES).count() == 0
+    columns = [np.array([5, 1 << 63, 7], np.uint64), np.array([1, 2, 3], np.uint64), np.array([-1, 1 << 40, 3]), np.array([0, -9, 2]), np.array([0, 1 << 31, 4]), np.array([31, 0, 1])]
+    assert all((a == b).all() for a, b in zip(columns, repeats.unpacked(repeats.packed(*columns))))
