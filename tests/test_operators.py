@@ -408,3 +408,36 @@ def test_shares_of_nothing(spark):
     assert [r.s for r in row] == [0.75, None]
     none = spark.createDataFrame([], "id string, gold_doc string, hit boolean, rank int, answer_in_context boolean, answer_in_gold_context boolean")
     assert evaluation.retrieval_metrics(none).first().hit_rate is None
+
+
+def test_needles_are_found_like_plain_search(spark, monkeypatch):
+    from lexiquarry.functions import needles
+
+    rng = random.Random(7)
+    lay = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.cumsum([0, *map(len, xs)]))
+    for size in (60, 1 << 20):
+        monkeypatch.setattr(needles, "SLICE", size)
+        for letters in (b"ab", b"abcdefg "):
+            some = lambda n: bytes(rng.choice(letters) for _ in range(n))
+            texts = [some(rng.choice([0, 1, 5, 40, 200])) for _ in range(40)]
+            known = list({some(rng.randrange(12)) for _ in range(40)} | {t[3 : 3 + rng.randrange(1, 90)] for t in texts})
+            text, start, n = needles.Needles(*needles.keys(*lay(known))).find(*lay(texts))
+            data = b"".join(texts)
+            assert sorted((t, data[a : a + b]) for t, a, b in zip(text.tolist(), start.tolist(), n.tolist())) == sorted((i, x) for i, t in enumerate(texts) for x in known if x and x in t)
+    # numbers stand for needles: a worker's memory follows their count, not their letters
+    held = needles.Needles(*needles.keys(*lay([b"%08d" % i * 12 for i in range(50_000)])))
+    assert held.both.nbytes + sum(x.nbytes for part in held.parts for x in part if isinstance(x, np.ndarray)) < 64 * 50_000
+    docs = spark.createDataFrame([(1, "Grüße an alle Wörter"), (2, None), (3, "an ALLE")], "document_number long, text string")
+    asked = spark.createDataFrame([("grüße an",), ("alle",), ("ALLE",), ("",), (None,), ("r w",)], "needle string")
+    want = {("grüße an", 1), ("alle", 1), ("ALLE", 1), ("alle", 3), ("ALLE", 3)} | {("", i) for i in (1, 2, 3)}
+    for most in (1, 4_000_000):
+        assert collections.Counter(map(tuple, questions.occurrences(docs, asked, most=most).collect())) == collections.Counter(want)
+    assert questions.occurrences(docs, asked.where("false")).count() == 0
+
+
+def test_masthead_is_told_by_its_beginnings():
+    from lexiquarry.functions import text as T
+
+    lines = ("[Federal Register Volume 1]", "[Rules and Regulations]", "[Proposed Rules]", "[Notices]", "[Page 12]", "[Pages 1-3]", "From the Federal Register Online x", "[FR Doc No: 2-1]", "a [[Page 3]] b", "===", "-----")
+    assert all(any(x in line for x in T.MASTHEAD_BEGINS) for line in lines)
+    assert len(T.MASTHEAD) == 8
