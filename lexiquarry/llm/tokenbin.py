@@ -134,16 +134,18 @@ class Merger:
 class Encoder:
     """Whole texts to token ids, exactly as the tokenizers library gives them.
 
-    A text is cut before a space that touches a non-space on either side; the byte-level pre-tokenizer always starts a new unit
-    there, so pieces are encoded independently, each distinct piece of a batch once. Pieces of Latin letters, with a mark after them or not, are
-    merged here, all at once; others go to the library. So do, whole, texts where three whitespace characters surround a space, or that hold an
-    added token's string. Nothing is kept from batch to batch.
+    A text is cut before a space that touches a non-space on either side, and before a line feed between two non-spaces; the byte-level pre-tokenizer always
+    starts a new unit there, and after such a line feed, so pieces are encoded independently, each distinct piece of a batch once. Pieces of Latin letters, with a run of marks after them or
+    not, are merged here, all at once; others go to the library. So do, whole, texts where three whitespace characters surround a space, or that hold an
+    added token's string or a zero, which stands for a line feed that begins a piece. Nothing is kept from batch to batch.
     """
 
     _unsafe = re.compile(r"\s \s|^ \s|\s $|^ $")
     #: white space besides the space and the line feed; texts without any of it need only cheap tests
     _rare = re.compile("[" + "".join(chr(x) for x in range(0x3001) if chr(x).isspace() and chr(x) not in " \n") + "]")
-    MARKS = b".,;:!?"
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # an apostrophe may begin a unit with letters
+    RUN = 8  # marks in a run
+    _line = re.compile(r"(?<=\S)\n(?=\S)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -163,7 +165,7 @@ class Encoder:
         if not self.assumed:
             return
         self.merge = Merger(kind, letters)
-        self.mark = self.merge.byte[list(range(256))].astype(np.uint32)
+        self.feed = np.uint32(self.merge.byte[10])
         # bytes that Latin letters up to U+024F are made of; what else those bytes can make is told apart by pairs
         self.other = np.ones(256, np.int64)
         self.other[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
@@ -173,7 +175,7 @@ class Encoder:
     def _whole(self, text: str) -> bool:
         """Whether a text must go to the library in one part."""
         odd = "  " in text or "\n \n" in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
-        return bool(odd and self._unsafe.search(text)) or any(a in text for a in self.added)
+        return bool(odd and self._unsafe.search(text)) or "\0" in text or any(a in text for a in self.added)
 
     def _pieces(self, pieces: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids end to end, starts, lengths) of pieces; ``spaced`` says which begin with a space."""
@@ -184,25 +186,37 @@ class Encoder:
         bad[:-1] += pair
         upto = np.concatenate([[0], np.cumsum(bad)])
         start, end = offsets[:-1], offsets[1:]
-        first = start + spaced
-        marked = (end - first > 1) & self.is_mark[data[np.maximum(end - 1, 0)]]
-        last = end - marked
-        plain = (last > first) & (upto[last] == upto[np.minimum(first, len(data))]) & (last - start <= Merger.WIDTHS[-1])
+        fed = (end > start) & (data[np.minimum(start, len(data) - 1)] == 0)
+        first, begin = start + (spaced | fed), start + fed
+        other = np.maximum.accumulate(np.where(self.is_mark[data], -1, np.arange(len(data))))
+        last = np.maximum(np.where(end > start, other[np.maximum(end - 1, 0)] + 1, end), first)
+        plain = (last > first) & (upto[last] == upto[np.minimum(first, len(data))]) & (last - begin <= Merger.WIDTHS[-1]) & (end - last <= self.RUN)
         own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
-        flat, count = self.merge(data, start[own], (last - start)[own])
+        flat, count = self.merge(data, begin[own], (last - begin)[own])
+        run, marks, told = self._runs(data, last[own], (end - last)[own])
         lens = np.zeros(len(pieces), np.int64)
-        lens[own] = count + marked[own]
-        others = [e.ids for e in self.tok.encode_batch_fast(pieces.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+        lens[own] = fed[own] + count + told
+        others = [e.ids for e in self.tok.encode_batch_fast([x.replace("\0", "\n") for x in pieces.take(pa.array(rest)).to_pylist()], add_special_tokens=False)]
         lens[rest] = [len(x) for x in others]
         starts = np.cumsum(lens) - lens
         ids = np.empty(int(lens.sum()), np.uint32)
-        ids[np.repeat(starts[own] - np.cumsum(count) + count, count) + np.arange(len(flat))] = flat
-        with_mark = own[marked[own]]
-        ids[starts[with_mark] + lens[with_mark] - 1] = self.mark[data[end[with_mark] - 1]]
+        ids[starts[own[fed[own]]]] = self.feed
+        at = starts[own] + fed[own]
+        ids[np.repeat(at - np.cumsum(count) + count, count) + np.arange(len(flat))] = flat
+        ids[np.repeat(at + count - np.cumsum(told) + told, told) + np.arange(int(told.sum()))] = marks[np.repeat(run - np.cumsum(told) + told, told) + np.arange(int(told.sum()))]
         at = np.repeat(starts[rest] - np.cumsum(lens[rest]) + lens[rest], lens[rest]) + np.arange(int(lens[rest].sum()))
         ids[at] = np.fromiter(chain.from_iterable(others), np.uint32, len(at))
         return ids, starts, lens
 
+    def _runs(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of marks: where each one's ids begin in the ids of all different ones, these, and how many each has."""
+        wide = np.ndarray((len(data) + 1,), "<u8", buffer=data.tobytes() + bytes(9), strides=(1,))
+        codes = np.where(size > 0, wide[start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.maximum(size, 1)) * 8).astype(np.uint64)), np.uint64(0))
+        different, which = np.unique(codes, return_inverse=True)
+        lists = [e.ids for e in self.tok.encode_batch_fast([x.to_bytes(8, "little").rstrip(b"\0").decode() for x in different.tolist()], add_special_tokens=False)]
+        n = np.array([len(x) for x in lists], np.int64)
+        return (np.cumsum(n) - n)[which], np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n[which]
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end mark; a null text counts as empty."""
         out: list = [np.zeros(0, np.uint32)] * len(texts)
@@ -216,13 +230,15 @@ class Encoder:
                 todo.append(i)
         if not todo:
             return out
-        lists = pc.split_pattern(pa.array([texts[i] for i in todo], pa.large_string()), " ")
+        lists = pc.split_pattern(pa.array([self._line.sub(" \0", texts[i]) for i in todo], pa.large_string()), " ")
         begin = lists.offsets.to_numpy()
         words = lists.flatten().dictionary_encode()
         mine = words.indices.to_numpy().astype(np.int64)
         heads, head = np.unique(mine[begin[:-1]], return_inverse=True)  # texts begin without a space
-        pieces = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.dictionary, pa.scalar(" ", pa.large_string())), words.dictionary.take(pa.array(heads))])
-        ids, starts, lens = self._pieces(pieces, np.arange(len(pieces)) < len(words.dictionary))
+        fed = pc.starts_with(words.dictionary, "\0")
+        spaced = pc.if_else(fed, words.dictionary, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.dictionary, pa.scalar(" ", pa.large_string())))
+        pieces = pa.concat_arrays([spaced, words.dictionary.take(pa.array(heads))])
+        ids, starts, lens = self._pieces(pieces, np.append(~fed.to_numpy(zero_copy_only=False), np.zeros(len(heads), bool)))
         mine[begin[:-1]] = len(words.dictionary) + head
         each = lens[mine]
         ends = np.cumsum(each)
@@ -280,14 +296,20 @@ class Coder:
             return b"", b"", b""
         x = np.full(lanes, LOW, np.uint64)
         words, states, marks = [], [], []
+        freq, cum, bound = self.freq[ids], self.cum[ids], self.bound[ids]
+        more, high, room = (np.uint64(1) << self.scale) - freq, np.uint64(32), np.empty(lanes, np.uint64)
         for t in range((len(ids) - 1) // lanes, -1, -1):
-            s = ids[t * lanes : (t + 1) * lanes]
-            y, f = x[: len(s)], self.freq[s]
-            full = y >= self.bound[s]
+            here = slice(t * lanes, min(len(ids), (t + 1) * lanes))
+            m = here.stop - here.start
+            y, q = x[:m], room[:m]
+            full = y >= bound[here]
             words.append(y[full].astype(np.uint32))
-            y = np.where(full, y >> np.uint64(32), y)
-            q = y // f
-            x[: len(s)] = (q << self.scale) + (y - q * f) + self.cum[s]
+            np.right_shift(y, high, out=y, where=full)
+            # (y // f << scale) + y % f + cum
+            np.floor_divide(y, freq[here], out=q)
+            q *= more[here]
+            y += q
+            y += cum[here]
             if t % STRIDE == 0:
                 states.append(x.copy())
                 marks.append(len(words))
@@ -309,13 +331,15 @@ class Coder:
             m = min(lanes, n - t * lanes)
             y = x[:m]
             slot = y & self.mask
-            s = self.symbol[slot]
+            s = self.symbol.take(slot.view(np.int64))
             out[k * lanes : k * lanes + m] = s
-            y = self.freq[s] * (y >> self.scale) + slot - self.cum[s]
+            y >>= self.scale
+            y *= self.freq.take(s)
+            y += slot
+            y -= self.cum.take(s)
             low = np.flatnonzero(y < LOW)
             y[low] = (y[low] << np.uint64(32)) | words[p : p + len(low)]
             p += len(low)
-            x[:m] = y
         return out
 
 
@@ -350,7 +374,7 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             keys = np.array([0 if i is None else i for i in ids], "<i8")
             return record(schema, [part], [number], [before], [keys.tobytes()], [null.tobytes()], [lens.tobytes()], [size], [np.concatenate(held).astype(width).tobytes()])
 
-        for batch in batches(source, rows=8192):
+        for batch in batches(source, rows=8192, size=12 << 20):
             texts = batch.column(1).to_pylist()
             for i, x in zip(batch.column(0).to_pylist(), enc(texts)):
                 held.append(np.append(x, np.uint32(end_id)))

@@ -574,3 +574,23 @@ def test_shared_phrases_are_those_of_triggers_that_several_documents_hold(spark)
     assert repeats.shared(rows.where("false"), bytesdedup.BYTES).count() == 0
     columns = [np.array([5, 1 << 63, 7], np.uint64), np.array([1, 2, 3], np.uint64), np.array([-1, 1 << 40, 3]), np.array([0, -9, 2]), np.array([0, 1 << 31, 4]), np.array([31, 0, 1])]
     assert all((a == b).all() for a, b in zip(columns, repeats.unpacked(repeats.packed(*columns))))
+
+
+def test_line_feeds_and_runs_of_marks_are_cut_before_the_library():
+    enc = tokenbin.Encoder(tokenbin.vocabulary())
+    rng = random.Random(3)
+    parts = ["a", "The", "été", "×", "ɏ", " ", " ", "\n", "\n", "  ", "\t", "\r\n", ".", ",", "***", "$$$", "'", "'s", "'LL", "12", "٣", "漢", "é", "-", "_", "\xa0", "\0", "\x1c", "\x85", "!!!!!!!!!", "?!", " \n", "\n "]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", None, "\n", "a\n", "\na", "a\nb", "a\n***", "x***\n", "\0a"]
+    lines = ["\n".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}word{m}" for m in (".", "***", "$$$", "")) for i in range(600)]
+    for texts in (odd, lines):
+        assert [x.tolist() for x in enc(texts)] == [list(e.ids) for e in enc.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    asked, real = [], enc.tok
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **options):
+            asked.extend(pieces)
+            return real.encode_batch_fast(pieces, **options)
+
+    enc.tok = Counted()
+    enc(lines)
+    assert len(asked) < 10  # the runs of marks, each once; before, every piece with a line feed or a run
