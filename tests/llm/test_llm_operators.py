@@ -534,6 +534,20 @@ def test_fuzzy_lines_are_verified_once():
     assert group == {"gid": [3, 3, 3], "h": [3, 5, 9], "dense": [True] * 3}
 
 
+def test_fuzzy_lines_take_sketches_only_where_a_partner_may_be():
+    """Entries alone in their bucket, or too far from all others by place or length, are not sent again; no pair that fits is lost."""
+    rng = np.random.default_rng(16)
+    every = np.empty(4000, fuzzylines._PLACE)
+    every["key"], every["h"], every["size"], every["at"] = rng.integers(0, 1500, 4000), np.arange(4000), rng.integers(64, 600, 4000), rng.integers(0, 256, 4000)
+    a, b = np.triu_indices(4000, 1)
+    fit = (every["key"][a] == every["key"][b]) & (np.abs(every["at"][a].astype(int) - every["at"][b]) <= fuzzylines._drift(0.8))
+    fit &= np.minimum(every["size"][a], every["size"][b]) >= 0.8 * np.maximum(every["size"][a], every["size"][b]) - 1e-6
+    wanted = set(a[fit].tolist()) | set(b[fit].tolist())
+    kept = set(fuzzylines.partnered(every, 0.8)["h"].tolist())
+    assert wanted <= kept and len(kept) < 0.5 * len(every)
+    assert len(fuzzylines.partnered(every[:0], 0.8)) == 0
+
+
 def test_long_fuzzy_lines_meet_in_longer_grams(spark):
     """Lines of few syllables share bands of short grams, and rarely landmarks, which edited copies share."""
     rng = random.Random(15)
