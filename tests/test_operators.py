@@ -441,3 +441,10 @@ def test_masthead_is_told_by_its_beginnings():
     lines = ("[Federal Register Volume 1]", "[Rules and Regulations]", "[Proposed Rules]", "[Notices]", "[Page 12]", "[Pages 1-3]", "From the Federal Register Online x", "[FR Doc No: 2-1]", "a [[Page 3]] b", "===", "-----")
     assert all(any(x in line for x in T.MASTHEAD_BEGINS) for line in lines)
     assert len(T.MASTHEAD) == 8
+
+
+def test_hashes_of_one_class_are_not_ranked(spark):
+    """Only what classes share goes on to be ranked; places still count the hashes that one class alone has, which come first."""
+    classes = spark.createDataFrame([(1, [1, 2, 9]), (2, [3, 9]), (3, [2, 9])], "rep long, s array<long>")
+    got = {(r.rep, r["size"], r.place, r.h, r.n) for r in duplicates._rarest_first(classes).collect()}
+    assert got == {(1, 3, 1, 2, 2), (1, 3, 2, 9, 3), (2, 2, 1, 9, 3), (3, 2, 0, 2, 2), (3, 2, 1, 9, 3)}

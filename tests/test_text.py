@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,14 @@ def test_only_texts_beyond_ascii_are_decomposed_in_python(spark):
     assert [r.y for r in rows.collect()] == ["plain text", "five re sume s", "", ""]
     calls = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "run(" in line and "EvalPython" in line]
     assert calls and all("RLIKE" in line for line in calls)
+
+
+def test_sketches_in_batches_are_those_of_single_hashes(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéß\u4e2d") for _ in range(rng.choice((1, 4, 9, 25))))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 90))) for _ in range(300)] + ["", " ", None, "A\u00a0b\tC", "one two three four five"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").repartition(2)
+    for hashing in (T.md5_hash, F.crc32):
+        for k, most in ((256, None), (7, 30), (5, 3)):
+            both = rows.select(T.sketch("x", k, 5, most, hashing).alias("a"), T._sketch_columns("x", k, 5, most, hashing).alias("b"))
+            assert both.where("not (a <=> b)").count() == 0
