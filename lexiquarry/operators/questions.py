@@ -223,9 +223,10 @@ def numbered(df: DataFrame, prefix: str = "q", order=("_order",)) -> DataFrame:
 def question_set(docs: DataFrame, source: DataFrame, clustered: DataFrame, n: int = 60, share_discriminator: float = 0.25, share_unanswerable: float = 0.15, seed: int = 0, id_col: str = "document_number") -> DataFrame:
     """Discriminators, then facts from other documents, then unanswerable ones; distinct by wording, numbered."""
     want_d, want_u = int(n * share_discriminator), int(n * share_unanswerable)
-    disc = materialise(discriminator_questions(verified(candidates(docs, id_col), docs, id_col=id_col), clustered, want_d, seed), "discriminators")
+    stated = materialise(verified(candidates(docs, id_col), docs, id_col=id_col), "stated")
+    disc = materialise(discriminator_questions(stated, clustered, want_d, seed), "discriminators")
     used = {r.answer_field: r.n for r in disc.groupBy("answer_field").agg(F.count("*").alias("n")).collect()}  # four fields
-    checked = verified(candidates(source, id_col), docs, id_col=id_col).join(small(disc.select(F.col("gold_doc").alias("_g"))), F.col("doc_id").cast("string") == F.col("_g"), "left_anti")
+    checked = (stated if source is docs else verified(candidates(source, id_col), docs, id_col=id_col)).join(small(disc.select(F.col("gold_doc").alias("_g"))), F.col("doc_id").cast("string") == F.col("_g"), "left_anti")
     facts = fact_questions(checked, n - want_d - want_u, used, seed=seed)
     parts = [df.withColumn("_part", F.lit(i)) for i, df in enumerate((disc, facts, unanswerable_questions(source, want_u, seed, id_col)))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -448,3 +448,12 @@ def test_hashes_of_one_class_are_not_ranked(spark):
     classes = spark.createDataFrame([(1, [1, 2, 9]), (2, [3, 9]), (3, [2, 9])], "rep long, s array<long>")
     got = {(r.rep, r["size"], r.place, r.h, r.n) for r in duplicates._rarest_first(classes).collect()}
     assert got == {(1, 3, 1, 2, 2), (1, 3, 2, 9, 3), (2, 2, 1, 9, 3), (3, 2, 0, 2, 2), (3, 2, 1, 9, 3)}
+
+
+def test_candidates_of_one_table_are_verified_once(spark, monkeypatch):
+    asked, plain = [], questions.verified
+    monkeypatch.setattr(questions, "verified", lambda *a, **k: asked.append(1) or plain(*a, **k))
+    text = "DKT-{0} is the docket of this notice number {0}"
+    docs = spark.createDataFrame([(str(i), f"Title {i}", ["Office"], text.format(i), [f"DKT-{i}"], [], None, None) for i in range(6)], "document_number string, title string, agency_names array<string>, text string, docket_ids array<string>, regulation_id_numbers array<string>, comments_close_on string, effective_on string")
+    clustered = docs.select(F.col("document_number").alias("doc_id"), F.lit("0").alias("cluster_id"), F.lit(6).alias("size"))
+    assert questions.question_set(docs, docs, clustered, 8).count() > 0 and len(asked) == 1
