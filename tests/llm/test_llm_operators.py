@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -608,3 +609,30 @@ def test_line_feeds_and_runs_of_marks_are_cut_before_the_library():
     enc.tok = Counted()
     enc(lines)
     assert len(asked) < 10  # the runs of marks, each once; before, every piece with a line feed or a run
+
+
+def test_suffixes_are_sorted_further_only_where_first_bytes_agree(monkeypatch):
+    rng = random.Random(12)
+    stems = [bytes(rng.choices(b"ab", k=3)) * 40 for _ in range(6)] + [bytes(rng.choices(b"abc", k=120)) for _ in range(4)]
+    for window in (5, 50):
+        phrases = [(rng.randrange(4), s[a : a + window - 1 + n], n) for s in stems for a, n in [(rng.randrange(40), rng.randrange(1, 30)) for _ in range(6)]]
+        key, count = np.array([k for k, _, _ in phrases]), np.array([n for _, _, n in phrases])
+        group = bytesdedup._compare(pa.array([c for _, c, _ in phrases], pa.binary()), key, count, window)
+        want = [(k, c[i : i + window]) for k, c, n in phrases for i in range(n)]
+        assert len(set(group.tolist())) == len(set(want)) == len(set(zip(group.tolist(), want)))
+    assert len(bytesdedup._compare(pa.array([], pa.binary()), key[:0], count[:0], 50)) == 0
+    kinds, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: kinds.append(len(keys)) or lexsort(keys))
+    bytesdedup._compare(pa.array([rng.randbytes(60) for _ in range(50)], pa.binary()), np.zeros(50, np.int64), np.full(50, 11), 50)
+    assert kinds == [2]
+
+
+def test_covered_units():
+    rng = np.random.default_rng(4)
+    start, mask = rng.integers(0, 900, 30), rng.integers(-(1 << 63), 1 << 63, 30) & rng.integers(-(1 << 63), 1 << 63, 30)
+    want = np.zeros(1000, bool)
+    for s, m in zip(start.tolist(), mask.tolist()):
+        for i in range(64):
+            if m >> i & 1:
+                want[s + i : s + i + 35] = True
+    assert (anchors.covered(1000, start, mask, 35) == want).all() and not anchors.covered(0, start[:0], mask[:0], 35).size
