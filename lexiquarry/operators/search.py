@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import tokens
 from lexiquarry.operators import vectors as blocked
-from lexiquarry.operators.postings import Asked, Index, index, keep, open_index  # noqa: F401  part of this module's interface
+from lexiquarry.operators.postings import RANGE, Asked, Index, index, keep, open_index  # noqa: F401  part of this module's interface
 from lexiquarry.session import materialise, small
 
 PER_DOC = 2
 DEPTH = 50
-SEEDS = 16  # ranges of greatest bound that are scored before others are passed over
+SEEDS = 4  # ranges of greatest bound that are scored before others are passed over
 RRF = 60
 DIGITS = 6
 
@@ -32,17 +32,11 @@ def capped(hits: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "doc_id", "position", "score")
 
 
-def _scores(asked: Asked, ranges: DataFrame, docs: list | None) -> DataFrame:
-    parts = asked.parts(ranges)
-    parts = parts.where(F.col("doc_id").isin(docs)) if docs else parts
-    return parts.groupBy("query_id", "chunk_id", "doc_id", "position").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-
-
 def _steps(asked: Asked, k: int, per_doc: int, docs: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every range's bound with its place, the scores of the first ranges, and the further ranges that may hold one of the k best."""
+    """Every range's bound with its place, the best of the first ranges, and the further ranges that may hold one of the k best."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "range"))
     bounds = materialise(asked.bounds().withColumn("place", place), "bounds")
-    first = materialise(_scores(asked, bounds.where(F.col("place") <= SEEDS), docs), "first")
+    first = materialise(asked.best(bounds.where(F.col("place") <= SEEDS), k, per_doc, DIGITS, docs), "first")
     reached = capped(first, k, per_doc).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     left = bounds.where(F.col("place") > SEEDS).join(small(reached), "query_id", "left")
     # a score that only equals the k-th may still win by its document; sums differ in their last bits by their order
@@ -57,8 +51,11 @@ def bm25(idx: Index, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC) ->
 def _best(asked: Asked, k: int, per_doc: int, docs: list | None = None) -> DataFrame:
     if k < 1:
         raise ValueError("k must be at least 1")
+    # a batch whose first ranges are most ranges reads all in one pass
+    if 2 * SEEDS * asked.rows.select("query_id").distinct().count() > asked.count / RANGE:
+        return capped(asked.best(None, k, per_doc, DIGITS, docs), k, per_doc)
     _, first, further = _steps(asked, k, per_doc, docs)
-    return capped(first.unionByName(_scores(asked, further, docs)), k, per_doc)
+    return capped(first.unionByName(asked.best(further, k, per_doc, DIGITS, docs)), k, per_doc)
 
 
 def ranges_read(idx: Index, queries: DataFrame, k: int = 5, per_doc: int = PER_DOC) -> DataFrame:
@@ -72,7 +69,8 @@ def explain(idx: Index, queries: DataFrame, docs: list | None = None, top: int =
     """For each query its best documents (of ``docs``, if given), each with its best chunk and the terms that made its score."""
     asked = idx.ask(queries)
     hits = materialise(_best(asked, top, 1, docs), "hits")
-    parts = asked.parts(hits=hits).groupBy("query_id", "chunk_id").agg(F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct((-F.round("part", DIGITS)).alias("minus"), "term"))).alias("t"))
+    parts = asked.parts(hits).groupBy("query_id", "chunk_id").agg(F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct((-F.round("part", DIGITS)).alias("minus"), "term"))).alias("t"))
+    parts = materialise(parts, "parts")
     named = F.transform(F.slice("t", 1, terms), lambda x: x["term"])
     return hits.join(small(parts), ["query_id", "chunk_id"]).select("query_id", "rank", "doc_id", "chunk_id", "score", F.array_join(named, " ").alias("top_terms"), (F.col("len") < 0.6 * F.lit(idx.average)).alias("is_short"))
 

@@ -457,3 +457,23 @@ def test_candidates_of_one_table_are_verified_once(spark, monkeypatch):
     docs = spark.createDataFrame([(str(i), f"Title {i}", ["Office"], text.format(i), [f"DKT-{i}"], [], None, None) for i in range(6)], "document_number string, title string, agency_names array<string>, text string, docket_ids array<string>, regulation_id_numbers array<string>, comments_close_on string, effective_on string")
     clustered = docs.select(F.col("document_number").alias("doc_id"), F.lit("0").alias("cluster_id"), F.lit(6).alias("size"))
     assert questions.question_set(docs, docs, clustered, 8).count() > 0 and len(asked) == 1
+
+
+@pytest.mark.parametrize("seeds", [1, 10**6])
+def test_scores_are_added_up_where_a_range_lies(spark, monkeypatch, seeds):
+    monkeypatch.setattr(postings, "RANGE", 8)
+    monkeypatch.setattr(search, "RANGE", 8)
+    monkeypatch.setattr(search, "SEEDS", seeds)
+    rng = random.Random(21)
+    rows = [(f"d{rng.randrange(60)}", p, " ".join(rng.choices("abcdefghij", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=rng.randrange(1, 30)))) for p in range(500)]
+    rows += [(f"d{p}", p, "a b same text") for p in range(500, 560)]
+    chunks = spark.createDataFrame([(f"{d}#{p}", d, x, p) for d, p, x in rows], "chunk_id string, doc_id string, text string, position int").repartition(3)
+    asked = [(i, " ".join(rng.sample("abcdefghij", 3))) for i in range(5)] + [(7, "same text"), (8, "zzz")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    idx = postings.index(chunks)
+    for k, per_doc in ((3, 1), (20, 2), (9, 0)):
+        assert {(r.query_id, r["rank"], r.doc_id, r.position, r.score) for r in search.bm25(idx, queries, k, per_doc).collect()} == plain_bm25(rows, asked, k, per_doc)
+    # a task passes on each query's best, not a row for each chunk that shares a term
+    held = idx.ask(queries)
+    got = held.best(None, 3, 1, 6)
+    assert got.count() <= 6 * 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) < held.postings.join(held.rows, "term").agg(F.sum("n")).first()[0]
