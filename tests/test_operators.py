@@ -477,3 +477,16 @@ def test_scores_are_added_up_where_a_range_lies(spark, monkeypatch, seeds):
     held = idx.ask(queries)
     got = held.best(None, 3, 1, 6)
     assert got.count() <= 6 * 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) < held.postings.join(held.rows, "term").agg(F.sum("n")).first()[0]
+
+
+def test_shares_half_way_round_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    ranks = {"a": [4, 10] + [None] * 158, "b": [1] * 41 + [None] * 599, "c": [3] * 999 + [4] + [None] * 2200}
+    rows = [(t, "g", r is not None, r) for t, rs in ranks.items() for r in rs]
+    frame = spark.createDataFrame(rows, "type string, gold_doc string, hit boolean, rank int").withColumns({"answer_in_context": F.col("hit"), "answer_in_gold_context": F.lit(False)})
+    got = {r["type"]: (r["hit_rate"], r["mrr"]) for r in evaluation.retrieval_metrics(frame.repartition(3), "type").collect()}
+    asked = "SELECT round({} / {}::DOUBLE, 6), round({}::DOUBLE / {}, 6)"
+    # the sums of 1 / rank as they are: 0.35, 41 and 333.25
+    for t, total in (("a", "0.35"), ("b", "41.0"), ("c", "333.25")):
+        n, hits = len(ranks[t]), sum(r is not None for r in ranks[t])
+        assert got[t] == duckdb.sql(asked.format(hits, n, total, n)).fetchall()[0]
