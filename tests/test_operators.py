@@ -490,3 +490,12 @@ def test_shares_half_way_round_as_in_sql(spark):
     for t, total in (("a", "0.35"), ("b", "41.0"), ("c", "333.25")):
         n, hits = len(ranks[t]), sum(r is not None for r in ranks[t])
         assert got[t] == duckdb.sql(asked.format(hits, n, total, n)).fetchall()[0]
+
+
+def test_nearest_sends_no_side_by_guesses_of_its_size(spark):
+    texts = [(i, f"alpha beta gamma delta epsilon {'zeta eta' if i % 2 else 'theta iota'} kappa {i % 5}") for i in range(20)]
+    sketched = duplicates.sketches(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", most=None)
+    classes = duplicates._classes(duplicates._named(sketched))
+    for df in (duplicates._placed(classes), duplicates.nearest(sketched)):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
